@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import TAKEN_SQL
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -24,6 +26,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op10_sharding)}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_docs(spark, sf_dir), most=2048).withColumnRenamed("id", "doc_id")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_docs(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op7_packing, op8_mixing, op10_sharding)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_mixing": TAKEN_SQL}
