@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import word_count, written
 
 #: 1 / golden ratio.
 PHI = 0.6180339887498949
@@ -30,11 +30,6 @@ def _joined(big: DataFrame, small: DataFrame, on: Column | list[str], rows: int,
     return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
-def word_count(text: Column) -> Column:
-    """Number of words; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
-
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, src, source_size, weight, target) for sizes(source, size): one row for each source.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import DEDUP_SQL
 from .mixing import TAKEN_SQL
 
 
@@ -26,6 +27,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    out = dedup_lines(_docs(spark, sf_dir), min_words=10)
+    return out.select("doc_id", "lines_before", "lines_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -33,11 +41,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
+    from .lines import DEDUP_SQL
+from .mixing import mix
 
     return mix(_docs(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op7_packing, op8_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op7_packing, op8_mixing, op10_sharding)}
 
-ORACLES: dict[str, str] = {"op8_mixing": TAKEN_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": DEDUP_SQL, "op8_mixing": TAKEN_SQL}
