@@ -35,6 +35,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines_before", "lines_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fuzzy import compare_edits
+
+    return compare_edits(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -47,6 +53,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op7_packing, op8_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_fingerprints, op7_packing, op8_mixing, op10_sharding)}
 
 ORACLES: dict[str, str] = {"op2_line_dedup": DEDUP_SQL, "op8_mixing": TAKEN_SQL}
