@@ -61,6 +61,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.95)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -73,6 +80,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_fingerprints, op5_quality, op7_packing, op8_mixing, op9_pii, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_fingerprints, op5_quality, op6_embeddings, op7_packing, op8_mixing, op9_pii, op10_sharding)}
 
 ORACLES: dict[str, str] = {"op2_line_dedup": DEDUP_SQL, "op8_mixing": TAKEN_SQL}
