@@ -52,6 +52,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paragraphs import repeated_paragraphs
+
+    return repeated_paragraphs(_docs(spark, sf_dir), similarity=0.8).withColumnRenamed("doc", "doc_id")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import held_out, score, train
 
@@ -80,6 +86,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_fingerprints, op5_quality, op6_embeddings, op7_packing, op8_mixing, op9_pii, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_fingerprints, op4_substring_dedup, op5_quality, op6_embeddings, op7_packing, op8_mixing, op9_pii, op10_sharding)}
 
 ORACLES: dict[str, str] = {"op2_line_dedup": DEDUP_SQL, "op8_mixing": TAKEN_SQL}
