@@ -47,7 +47,7 @@ def verify_equivalent(a: list[Table], b: list[Table]) -> None:
     for x, y in zip(a, b):
         if pk_fold(x).first() != pk_fold(y).first():
             raise CompactionMismatch(f"{x.otype.name}: keys differ")
-        row = F.xxhash64(*(F.to_json(F.struct(p.name)) if p.kind == Kind.DICT else F.col(p.name) for p in x.otype.props), "_version").alias("h")
+        row = F.xxhash64(*(p.comparable(F.col(p.name)) for p in x.otype.props), "_version").alias("h")
         one, two = (t.df.select("_okey", row) for t in (x, y))
         if not one.withColumnRenamed("h", "_h").join(two, "_okey", "full").where(~F.col("h").eqNullSafe(F.col("_h"))).isEmpty():
             raise CompactionMismatch(f"{x.otype.name}: rows differ")

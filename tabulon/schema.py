@@ -72,6 +72,10 @@ class Prop:
         value = F.coalesce(value, self.empty())
         return F.array_sort(F.array_distinct(value)) if self.kind in (Kind.SET, Kind.LINK_SET) else value
 
+    def comparable(self, value: Column) -> Column:
+        """value in a form that Spark can compare and hash: dictionaries as entries by ascending key."""
+        return F.array_sort(F.map_entries(value)) if self.kind == Kind.DICT else value
+
     def empty(self) -> Column:
         """The default: 0, null, or an empty blob or collection."""
         if self.kind == Kind.INT:

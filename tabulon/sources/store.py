@@ -19,6 +19,7 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -452,7 +453,9 @@ class WriteTxn:
             return rows
         props = self.types[type_id].otype.props
         schema = T.StructType([T.StructField(p.name, p.spark_type()) for p in props] + ([T.StructField(extra, T.LongType())] if extra else []) + [T.StructField("_pos", T.LongType())])
-        return self.store.spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema)
+        wide = [p.wide and p.kind == Kind.INT for p in props]
+        exact = lambda r: [Decimal(v) if i < len(wide) and wide[i] and v is not None else v for i, v in enumerate(r)]
+        return self.store.spark.createDataFrame([(*exact(r), i) for i, r in enumerate(rows)], schema)
 
     def insert(self, type_id: int, rows: list | DataFrame) -> DataFrame:
         done = dml.insert(self.table(type_id), self.frame(type_id, rows), self.version)
@@ -529,7 +532,8 @@ class WriteTxn:
         found = rows.select(t.otype.pk).count()
         if found < len(set(pks)):
             raise KeyError(f"{len(set(pks)) - found} of the keys aren't there")
-        same = F.lit(False) if always else F.to_json(F.struct(F.col(prop).alias("v"))).eqNullSafe(F.to_json(F.struct(F.col("_new").alias("v"))))
+        p = t.otype.prop(prop)
+        same = F.lit(False) if always else p.comparable(F.col(prop)).eqNullSafe(p.comparable(F.col("_new")))
         rows = rows.where(~same).withColumn(prop, F.col("_new")).withColumn("_version", F.lit(self.version).cast("bigint"))
         return self.apply(type_id, rows.select("_okey", "_version", F.lit(True).alias("_live"), *t.otype.names))
 
