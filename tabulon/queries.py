@@ -88,11 +88,11 @@ def aggregate_empty(spark, d):
     return _agg(_orders_ints(spark, d), "o_custkey", [P(0, Op.GT, 2**63 - 1)])
 
 
-@register("SELECT CAST(sum(CAST(o_orderkey AS DECIMAL(38,0)) * 1000000000000000) % 18446744073709551616 AS VARCHAR) AS sum FROM orders")
+@register("SELECT CAST(sum(CAST(o_orderkey AS DECIMAL(38,0)) * 10000000000000) % 18446744073709551616 AS VARCHAR) AS sum FROM orders")
 def aggregate_wrap(spark, d):
     t = _orders_ints(spark, d)
     wide = Prop("big", Kind.INT, wide=True)
-    big = t.df.withColumn("big", (F.col("o_orderkey").cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)")).cast("decimal(20,0)"))
+    big = t.df.withColumn("big", (F.col("o_orderkey").cast("decimal(20,0)") * F.lit(10**13).cast("decimal(16,0)")).cast("decimal(20,0)"))
     return query.aggregate_int(Table(t.otype.with_property(wide), big), "big", []).select(F.col("sum").cast("string").alias("sum"))
 
 
