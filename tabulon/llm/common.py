@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -15,6 +17,31 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so their Python finds it wherever they run. A package that came in an
+    archive is there already."""
+    sc, top = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if sc.applicationId in _shipped or not os.path.isdir(top):
+        return
+    archive = os.path.join(tempfile.mkdtemp(), f"{os.path.basename(top)}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for d, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), os.path.dirname(top)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(), with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir. Only where that is unset (tests, one machine) a temp folder takes its place."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_map, written
 from .components import connected_components
 
 #: Vectors that the index is fitted to, at most.
@@ -144,7 +144,7 @@ def place(vectors: DataFrame, index: Index, dim: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([home, lists.ravel().astype(np.int32)])), pa.array(np.arange(len(rows)) >= part.num_rows), part.column(1).take(take), part.column(2).take(take), part.column(0).take(take), pa.array(home[rows]), probes], names=names)
 
     kind = vectors.schema["v"].dataType.simpleString()
-    return vectors.select("v", "node", "n").mapInArrow(run, f"list int, is_query boolean, node bigint, n bigint, v {kind}, home int, probes array<int>")
+    return arrow_map(vectors.select("v", "node", "n"), run, f"list int, is_query boolean, node bigint, n bigint, v {kind}, home int, probes array<int>")
 
 
 def find_links(placed: DataFrame, index: Index, dim: int, least: float, slack: float) -> DataFrame:
@@ -200,7 +200,7 @@ def find_links(placed: DataFrame, index: Index, dim: int, least: float, slack: f
                     dst = [None] * len(ids) + [e[1] for e in forest]
                     yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array([*times.tolist(), *[0] * len(forest)], pa.int64())], names=["src", "dst", "times"])
 
-    return dealt.repartition("list", "block").sortWithinPartitions("list", "block", "is_query").mapInArrow(run, "src bigint, dst bigint, times bigint")
+    return arrow_map(dealt.repartition("list", "block").sortWithinPartitions("list", "block", "is_query"), run, "src bigint, dst bigint, times bigint")
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, probes: int = 8, slack: float = 0.15, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import arrow_map, drop_written, ship, written
 
 #: Pieces that a partition packs at a time.
 PER_PARTITION = 200_000
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
 
 
 def best_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,6 +155,7 @@ def _pack(items: DataFrame, parts: int, most: int) -> DataFrame:
         bins, offsets, fill = best_fit(lengths, most)
         return pd.DataFrame({"row": group["row"], "length": lengths, "part": group["part"], "bin": bins, "offset": offsets, "free": most - fill[bins], "bins": len(fill), "bound": lower_bound(lengths, most)})
 
+    ship(items.sparkSession)
     dealt = items.select("row", "length", F.pmod(F.xxhash64("row", F.lit(parts)), F.lit(parts)).alias("part"))
     return dealt.groupBy("part").applyInPandas(run, "row bigint, length bigint, part bigint, bin bigint, offset bigint, free bigint, bins bigint, bound bigint")
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -292,7 +294,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                     out.append((str(i), np.packbits(g.features[:n], axis=1).tobytes(), g.label[:n].tolist(), near(g.chain), near(g.skip)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 3))], names=["id", "f", "label", "chain", "skip"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").mapInArrow(run, "id string, f binary, label array<bigint>, chain array<bigint>, skip array<bigint>").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    rows = arrow_map(rows, run, "id string, f binary, label array<bigint>, chain array<bigint>, skip array<bigint>").collect()
     width = -(-len(FEATURES) // 8)
     graphs = []
     for r in sorted(rows):
@@ -317,4 +320,4 @@ def find_personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([rows(x) for x, _ in found], kind), pa.array([rows(x + y) for x, y in found], kind)], names=["id", "base", "spans"])
 
     id_kind, span = docs.schema[id_col].dataType.simpleString(), "array<struct<kind:string,start:bigint,end:bigint>>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_kind}, base {span}, spans {span}")
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {id_kind}, base {span}, spans {span}")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, words_of, written
+from .common import arrow_map, shingle_hashes, words_of, written
 from .components import connected_components
 
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp bigint")
 
 
 def ring_keys(fp: Column) -> Column:
@@ -157,7 +157,7 @@ def candidate_links(nodes: DataFrame, distance: int = 3) -> DataFrame:
             yield emit(held)
 
     sorted_groups = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return sorted_groups.mapInArrow(run, "src bigint, dst bigint")
+    return arrow_map(sorted_groups, run, "src bigint, dst bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, distance: int = 3) -> DataFrame:
