@@ -21,13 +21,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _is(kind: str):
+    """The element if it is kind, else null."""
+    return lambda x: F.when(x == kind, x)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, find_personal_data, train
 
     docs = _docs(spark, sf_dir)
     found = find_personal_data(docs, train(docs))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.array_compact(F.transform("base.kind", _is(k)))).cast("bigint").alias(f"n_{k}") for k in KINDS]
     added = (F.size("spans") - F.size("base")).cast("bigint").alias("n_added")
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"), added)
 
