@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, order_cuts
+from .common import arrow_map, bucket_of, order_cuts
 
 WINDOW = 7
 #: A block size is chosen for at most so many chunks on average; a signature has at most MOST, the last of which takes in the rest of the text.
 AIM, MOST = 48, 64
 LEAST_EXPONENT = 2
+#: Blocks that a chunk holds at most (but for a signature's last).
+LONGEST = 6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 PAIRS = [a + b for a in ALPHABET for b in ALPHABET]
 #: Rows of documents that are handed on together.
@@ -54,8 +56,13 @@ def exponent_for(n: int) -> int:
     return e
 
 
-def signature(data: bytes, ends: np.ndarray) -> np.ndarray:
-    """One number below 4096 for each chunk; ends are where chunks end before the end of the text."""
+def signature(data: bytes, ends: np.ndarray, block: int) -> np.ndarray:
+    """One number below 4096 for each chunk; ends are where chunks end before the end of the text. Where a text repeats itself and marks no place,
+    a chunk ends LONGEST blocks after the one before."""
+    gaps = np.diff(np.r_[0, ends, len(data)])
+    if (more := np.maximum(gaps - 1, 0) // (LONGEST * block)).any():
+        extra = np.repeat(np.r_[0, ends], more) + LONGEST * block * np.concatenate([np.arange(1, m + 1) for m in more])
+        ends = np.sort(np.r_[ends, extra])
     ends = [*ends[: MOST - 1].tolist(), len(data)]
     if len(ends) > 1 and ends[-2] == ends[-1]:
         ends.pop()
@@ -80,8 +87,8 @@ class Print:
         h = cut_hashes(data)
         low = np.uint32((1 << e) - 1)
         ends = np.flatnonzero((h & low) == low)
-        self.fine = signature(data, ends + 1)
-        self.coarse = signature(data, ends[(h[ends] >> np.uint32(e)) & np.uint32(1) == 1] + 1)
+        self.fine = signature(data, ends + 1, 1 << e)
+        self.coarse = signature(data, ends[(h[ends] >> np.uint32(e)) & np.uint32(1) == 1] + 1, 2 << e)
 
     def __str__(self) -> str:
         return f"{self.exponent}:{''.join(PAIRS[c] for c in self.fine)}:{''.join(PAIRS[c] for c in self.coarse)}"
@@ -138,7 +145,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([str(Print(t or "")) for t in part.column(1).to_pylist()])], names=["id", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fingerprint string")
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fingerprint string")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_bucket: int) -> DataFrame:
@@ -194,4 +201,4 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col, text_col, rows_per_bucket).mapInArrow(run, schema)
+    return arrow_map(with_next(docs, id_col, text_col, rows_per_bucket), run, schema)
