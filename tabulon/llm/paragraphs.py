@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, arrow_map, written
 from .components import connected_components
 
 #: Words of a paragraph cut out of a longer line: at least, at most, and one cut in so many words on average.
@@ -30,8 +30,6 @@ SHINGLE = 5
 BAND_ROWS = 2
 #: Paragraphs in a block of a bucket.
 BLOCK = 1024
-#: Keys or ids that are broadcast at most; a side is counted first, and a larger one is joined by shuffle.
-BROADCAST_ROWS = 300_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -155,12 +153,12 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, bands: int) -> DataF
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc {kind}, para int, line int, first_word int, words int, h bigint, keys array<bigint>")
+    return arrow_map(rows, run, f"doc {kind}, para int, line int, first_word int, words int, h bigint, keys array<bigint>")
 
 
 def _semi(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows of big whose `on` is in keys (distinct): broadcast if keys was counted small, else by shuffle."""
-    return big.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, "left_semi")
+    """Rows of big whose `on` is in keys, by shuffle whatever the size, so the cost grows in proportion."""
+    return big.join(keys, on, "left_semi")
 
 
 def near_links(flat: np.ndarray, at: np.ndarray, h: np.ndarray, least: float) -> tuple[list[int], list[int]]:
@@ -224,13 +222,12 @@ def verified_links(groups: DataFrame, least: float) -> DataFrame:
         if held is not None and len(held):
             yield emit(held)
 
-    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "src bigint, dst bigint")
+    return arrow_map(dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y"), run, "src bigint, dst bigint")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h, shingles) for wanted(doc, para), which has one place for each h: the texts are cut again, only where a candidate stands."""
     per = wanted.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_list("para")).alias("_paras"))  # bounded by a document's paragraphs
-    per = F.broadcast(per) if per.count() <= BROADCAST_ROWS // 10 else per
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(per, F.col("id") == F.col("_doc")).select("text", "_paras")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +242,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
                             sets.append(c.set_of(i).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["h", "shingles"])
 
-    return rows.mapInArrow(run, "h bigint, shingles array<bigint>").dropDuplicates(["h"])
+    return arrow_map(rows, run, "h bigint, shingles array<bigint>").dropDuplicates(["h"])
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.95, min_words: int = 16) -> DataFrame:
@@ -263,7 +260,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = groups.select("h").distinct()
     places = _semi(t.select("h", "doc", "para"), written(some), "h").groupBy("h").agg(F.min(F.struct("doc", "para")).alias("p")).select("p.doc", "p.para")
     sets = shingle_sets(docs, written(places), id_col, text_col)
-    comp = connected_components(verified_links(groups.join(sets, "h"), similarity)).select(F.col("node").alias("h"), "component")
+    comp = connected_components(verified_links(written(groups.join(sets, "h")), similarity)).select(F.col("node").alias("h"), "component")
     many = t.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").union(comp.select("h")).distinct()
     rows = _semi(t.drop("keys"), written(many), "h").join(comp, "h", "left").withColumn("component_id", F.coalesce("component", "h")).drop("component")
     rows = written(rows)
@@ -288,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(docs_columns))], names=docs_columns)
 
     docs_columns = docs.columns
-    return rows.mapInArrow(run, kinds)
+    return arrow_map(rows, run, kinds)
 
 
 def without(text: str | None, gone: list[dict]) -> str | None:
