@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import BadRow, DuplicateKey, NotAppendable, TypeNotEmpty, UnsupportedForBulk
 from ..schema import LINKS
 from . import dml
-from .ranking import ascending, with_rank
+from .ranking import cut_points, rising, with_rank
 from .table import Table, changed
 
 
@@ -31,23 +31,27 @@ def bulk_import(t: Table, rows: DataFrame, version: int) -> DataFrame:
     return changed(ranked.withColumn("_okey", F.col("_rank") + F.lit(t.next_key)).withColumn("_version", F.lit(version).cast("bigint")), t)
 
 
-def check_appendable(t: Table, rows: DataFrame) -> None:
-    """rows(_pos, properties) can go behind what is there: no index or link to keep, keys ascending in input order and above the largest key."""
+def check_appendable(t: Table, rows: DataFrame) -> list:
+    """rows(_pos, properties) can go behind what is there: no index or link to keep, keys ascending in input order and above the largest key. The
+    cut points of _pos, which ranking needs again."""
     _check_width(t, rows)
     if any(p.indexed or p.kind in LINKS for p in t.otype.props):
         raise NotAppendable("an indexed or link property needs the row-wise path")
     pk = t.otype.pk
-    if not ascending(rows, "_pos", pk):
+    cuts = cut_points(rows, "_pos")
+    fine, first = rising(rows, "_pos", pk, cuts)
+    if not fine:
         raise NotAppendable("keys don't rise strictly in input order")
-    first, top = rows.agg(F.min(pk)).first()[0], t.df.agg(F.max(pk)).first()[0]
+    top = t.df.agg(F.max(pk)).first()[0]
     if first is not None and top is not None and first <= top:
         raise NotAppendable("a key is at or below the largest key")
+    return cuts
 
 
 def bulk_append(t: Table, rows: DataFrame, version: int) -> DataFrame:
     """Changes that append rows(_pos, properties); object keys follow next_key in input order. No rows, no changes."""
-    check_appendable(t, rows)
-    ranked = with_rank(rows.select(*dml.stored_row(t, rows), "_pos"), "_pos")
+    cuts = check_appendable(t, rows)
+    ranked = with_rank(rows.select(*dml.stored_row(t, rows), "_pos"), "_pos", cuts=cuts)
     return changed(ranked.withColumn("_okey", F.col("_rank") + F.lit(t.next_key)).withColumn("_version", F.lit(version).cast("bigint")), t)
 
 

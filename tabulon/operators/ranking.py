@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 BUCKET_ROWS, MOST_BUCKETS = 100_000, 4096
 
 
+#: Quantiles that the first pass takes along with the count; they do for as many buckets.
+FIRST_CUTS = 256
+
+
 def cut_points(df: DataFrame, key: str) -> list:
-    n = df.count()
+    """Ascending cut points that deal the rows to buckets; none for less than two buckets. One pass, or two where more than FIRST_CUTS buckets are needed."""
+    at = lambda k: F.array(*(F.lit(i / k) for i in range(1, k)))
+    n, got = df.agg(F.count("*"), F.percentile_approx(key, at(FIRST_CUTS), 20 * FIRST_CUTS)).first()
     buckets = int(min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    if buckets < 2:
+    if buckets < 2 or not got:
         return []
-    got = df.select(F.percentile_approx(key, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 20 * buckets).alias("q")).first()["q"]
-    return sorted(set(got or []))
+    if buckets > FIRST_CUTS:
+        got = df.select(F.percentile_approx(key, at(buckets), 20 * buckets).alias("q")).first()["q"]
+        return sorted(set(got))
+    return sorted({got[round(i * FIRST_CUTS / buckets) - 1] for i in range(1, buckets)})
 
 
 def bucket(key: Column, cuts: list) -> Column:
@@ -30,10 +38,10 @@ def bucket(key: Column, cuts: list) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(half(0, len(cuts)))
 
 
-def with_rank(df: DataFrame, key: str, ties: list[str] | None = None, name: str = "_rank") -> DataFrame:
+def with_rank(df: DataFrame, key: str, ties: list[str] | None = None, name: str = "_rank", cuts: list | None = None) -> DataFrame:
     """df with each row's 0-based position in ascending order of key, ties. Numeric key; buckets of neighbouring keys are ranked on their own
-    and start where the counts of the buckets before end."""
-    cuts = cut_points(df, key)
+    and start where the counts of the buckets before end. cuts: cut_points(df, key), if the caller has them."""
+    cuts = cut_points(df, key) if cuts is None else cuts
     order = [F.col(c).asc_nulls_first() for c in (key, *(ties or []))]
     if not cuts:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)  # fewer rows than two buckets hold
@@ -44,10 +52,13 @@ def with_rank(df: DataFrame, key: str, ties: list[str] | None = None, name: str
     return dealt.withColumn("_r", own).join(F.broadcast(per), "_b").withColumn(name, F.col("_n0") + F.col("_r") - 1).drop("_b", "_r", "_n0")
 
 
-def ascending(df: DataFrame, position: str, key: str) -> bool:
-    """Whether key rises strictly with position: inside every bucket by lag, across buckets by their ends."""
-    cuts = cut_points(df, position)
+def rising(df: DataFrame, position: str, key: str, cuts: list) -> tuple[bool, int | None]:
+    """Whether key rises strictly with position, and its first value: inside every bucket by lag, across buckets by their ends."""
     dealt = df.select(bucket(F.col(position), cuts).alias("_b"), F.col(position).alias("p"), F.col(key).alias("k"))
     dealt = dealt.withColumn("bad", F.col("k") <= F.lag("k").over(Window.partitionBy("_b").orderBy("p")))
     per = dealt.groupBy("_b").agg(F.max("bad").alias("bad"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("_b").collect()
-    return not any(r["bad"] for r in per) and all(a["hi"] < b["lo"] for a, b in zip(per, per[1:]))
+    return not any(r["bad"] for r in per) and all(a["hi"] < b["lo"] for a, b in zip(per, per[1:])), per[0]["lo"] if per else None
+
+
+def ascending(df: DataFrame, position: str, key: str) -> bool:
+    return rising(df, position, key, cut_points(df, position))[0]

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -427,8 +427,9 @@ class WriteTxn:
 
     def _new_rows(self, type_id: int, changes: DataFrame) -> int:
         s = self.types[type_id]
-        name = self._put(type_id, changes, None)
-        n = self.store.spark.read.parquet(f"{self.store.path}/{name}").count()
+        seen = Observation()
+        name = self._put(type_id, changes.observe(seen, F.count(F.lit(1)).alias("n")), None)
+        n = seen.get["n"]  # counted while it is written
         if n:
             s.base.append(name)
         s.next_key += n
@@ -440,8 +441,10 @@ class WriteTxn:
         """Changes to existing rows, as a delta; the number of rows in it."""
         s = self.types[type_id]
         self.seq += 1
-        name = self._put(type_id, changes.withColumn("_seq", F.lit(self.version * 1_000_000 + self.seq).cast("bigint")), True)
-        n, dead = self.store.spark.read.parquet(f"{self.store.path}/{name}").agg(F.count("*"), F.count(F.when(~F.col("_live"), 1))).first()
+        seen = Observation()
+        counted = changes.withColumn("_seq", F.lit(self.version * 1_000_000 + self.seq).cast("bigint")).observe(seen, F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("_live"), 1)).alias("dead"))
+        name = self._put(type_id, counted, True)
+        n, dead = seen.get["n"], seen.get["dead"]
         if n:
             s.delta.append(name)
         s.live -= dead
