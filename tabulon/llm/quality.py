@@ -44,11 +44,11 @@ def shares(c: dict[str, Column]) -> dict[str, Column]:
 
 
 def with_shares(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Two structs: _k with the columns of keep, and _s with the shares."""
+    """Two structs: _k with the columns of keep, and _s with the shares; and _n, a number that accepted() uses."""
     kept = F.struct(*(docs[c] for c in keep)).alias("_k")
-    stats = docs.select(kept, *(v.alias(k) for k, v in statistics(docs[text_col]).items()))
-    made = shares({k: F.col(k) for k in stats.columns[1:]})
-    return stats.select("_k", F.struct(*(v.alias(k) for k, v in made.items())).alias("_s"))
+    stats = docs.select(kept, F.monotonically_increasing_id().alias("_n"), *(v.alias(k) for k, v in statistics(docs[text_col]).items()))
+    made = shares({k: F.col(k) for k in stats.columns[2:]})
+    return stats.select("_k", "_n", F.struct(*(v.alias(k) for k, v in made.items())).alias("_s"))
 
 
 Rule = tuple[tuple[str, str, float], ...]
@@ -196,3 +196,13 @@ def score(docs: DataFrame, model: RuleModel, text_col: str = "text", keep: list[
     """keep (by default all columns) and `score`, 0 to 1; every row gets one, null and empty texts as well. An own `score` column is replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     return with_shares(docs, text_col, keep).select("_k.*", model.probability(lambda n: F.col(f"_s.{n}")).alias("score"))
+
+
+def accepted(docs: DataFrame, model: RuleModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is at least `least`.
+
+    A filter on the score alone would be pushed below the statistics, and Catalyst would then compute each of them anew in every rule that
+    names it. Since the filter also reads _n, which isn't deterministic, it stays above, and every statistic is computed once.
+    """
+    rows = with_shares(docs, text_col, docs.columns)
+    return rows.where((model.probability(lambda n: F.col(f"_s.{n}")) >= least) & (F.col("_n") >= 0)).select("_k.*")

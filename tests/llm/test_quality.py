@@ -32,6 +32,10 @@ def test_compiled_rules_score_as_the_matrix(spark):
     out = {r.doc_id: r.score for r in Q.score(df, m).collect()}
     assert np.allclose([out[i] for i in range(400)], 1 / (1 + np.exp(-z))) and 0 < len(m.rules) < 200
     assert np.mean((z > 0) == (y > 0.5)) > 0.93
+    kept = Q.accepted(df, m, 0.3)
+    assert {r.doc_id for r in kept.collect()} == {i for i, s in out.items() if s >= 0.3} and kept.columns == df.columns
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1 and plan.count("regexp_extract_all") <= len(Q._COUNTS)
 
 
 def test_lasso_meets_its_optimality_conditions():
