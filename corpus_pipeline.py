@@ -19,7 +19,7 @@ KEEP_SCORE = 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted to the labels in sf_dir, doesn't reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where(F.col("score") >= KEEP_SCORE).select(*docs.columns)
+    return quality.accepted(docs, model, KEEP_SCORE)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
