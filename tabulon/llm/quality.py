@@ -34,10 +34,11 @@ def statistics(text: Column) -> dict[str, Column]:
 
 
 def shares(c: dict[str, Column]) -> dict[str, Column]:
-    """What the rules compare, from the columns of statistics()."""
+    """What the rules compare, from the columns of statistics(). Distinct words are set against all words by their logarithms: the plain share falls
+    with length, and would count long texts as repetitive."""
     per = lambda a, b: a / F.greatest(b, F.lit(1.0))
     return {
-        "chars": c["chars"], "words": c["words"], "word_length": per(c["chars"], c["words"]), "kinds_share": per(c["kinds"], c["words"]), "wide_share": per(c["octets"] - c["chars"], c["chars"]),
+        "chars": c["chars"], "words": c["words"], "word_length": per(c["chars"], c["words"]), "kinds_share": F.log(c["kinds"] + 1) / F.log(c["words"] + 2), "wide_share": per(c["octets"] - c["chars"], c["chars"]),
         "words_per_line": per(c["words"], c["n_line"] + 1), "words_per_stop": per(c["words"], c["n_stop"] + 1),
         **{f"{k}_share": per(c[f"n_{k}"], c["chars"]) for k in _COUNTS},
     }
