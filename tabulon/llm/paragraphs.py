@@ -264,12 +264,12 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     many = t.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").union(comp.select("h")).distinct()
     rows = _semi(t.drop("keys"), written(many), "h").join(comp, "h", "left").withColumn("component_id", F.coalesce("component", "h")).drop("component")
     rows = written(rows)
-    first = rows.groupBy("component_id").agg(F.min(F.struct("doc", "para")).alias("_first"))
+    first = rows.groupBy("component_id").agg(F.min(F.struct("doc", "para")).alias("_f")).select("component_id", "_f.doc", "_f.para", F.lit(True).alias("_kept"))
     by_place = Window.partitionBy("doc").orderBy("para")
     rows = rows.withColumn("_new", F.when(F.col("para") - F.lag("para").over(by_place) <= 1, 0).otherwise(1))
     rows = rows.withColumn("_run", F.sum("_new").over(by_place)).withColumn("_total", F.sum("words").over(Window.partitionBy("doc", "_run")))
-    rows = rows.where(F.col("_total") >= min_words).join(first, "component_id")
-    return rows.select("doc", "para", "line", "first_word", "words", "component_id", (F.struct("doc", "para") == F.col("_first")).alias("kept"))
+    rows = rows.where(F.col("_total") >= min_words).join(first, ["doc", "para", "component_id"], "left")  # by place, so a class with most rows is spread
+    return rows.select("doc", "para", "line", "first_word", "words", "component_id", F.coalesce("_kept", F.lit(False)).alias("kept"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
