@@ -258,12 +258,13 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
     groups = written(_semi(keyed, written(near), "key").distinct())
     some = groups.select("h").distinct()
-    places = _semi(t.select("h", "doc", "para"), written(some), "h").groupBy("h").agg(F.min(F.struct("doc", "para")).alias("p")).select("p.doc", "p.para")
+    places = t.groupBy("h").agg(F.min(F.struct("doc", "para")).alias("p"))  # before the join: a paragraph with most rows is one row from each task
+    places = _semi(places, written(some), "h").select("p.doc", "p.para")
     sets = shingle_sets(docs, written(places), id_col, text_col)
     comp = connected_components(verified_links(written(groups.join(sets, "h")), similarity)).select(F.col("node").alias("h"), "component")
-    many = t.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").union(comp.select("h")).distinct()
-    rows = _semi(t.drop("keys"), written(many), "h").join(comp, "h", "left").withColumn("component_id", F.coalesce("component", "h")).drop("component")
-    rows = written(rows)
+    many = t.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").join(comp, "h", "full")
+    classes = written(many.select("h", F.coalesce("component", "h").alias("component_id")))
+    rows = written(t.drop("keys").join(classes, "h"))  # one join and nothing else by this key, so AQE can split a hot one
     first = rows.groupBy("component_id").agg(F.min(F.struct("doc", "para")).alias("_f")).select("component_id", "_f.doc", "_f.para", F.lit(True).alias("_kept"))
     by_place = Window.partitionBy("doc").orderBy("para")
     rows = rows.withColumn("_new", F.when(F.col("para") - F.lag("para").over(by_place) <= 1, 0).otherwise(1))
