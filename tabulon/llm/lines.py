@@ -1,6 +1,6 @@
 """Line dedup by a suffix array over line-ID sequences, in DataFrame functions only.
 
-Every line becomes an ID (its rank among the lines that occur more than once); a document is a sequence of IDs, and a line that occurs
+Every line becomes an ID (the number of positions of smaller lines, among the lines that occur more than once); a document is a sequence of IDs, and a line that occurs
 once ends every common prefix, so its suffix needs no place in the array. Prefix doubling then ranks suffixes by their first 1, 2, 4, ...
 lines: the pair (rank at p, rank at p + h) orders suffixes by 2h lines. Suffixes with equal rank after a round are an interval of the suffix
 array whose longest common prefix is at least 2h lines; suffixes alone in their interval are finished and leave the table. All
@@ -39,12 +39,13 @@ def _offsets(per: DataFrame, group: list[str], bucket: str, n: str) -> DataFrame
 
 
 def first_ranks(positions: DataFrame) -> DataFrame:
-    """(h1, h2, rank): the repeated lines, ranked by ID."""
+    """(h1, h2, rank): the repeated lines, ranked by ID. A rank is the number of positions of smaller lines, so it leaves room for its line's continuations."""
     kept = positions.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    kept = written(kept.select("h1", "h2", F.shiftrightunsigned("h1", 64 - LINE_BUCKETS.bit_length() + 1).alias("bucket")))
-    base = _offsets(kept.groupBy("bucket").agg(F.count("*").alias("n")), [], "bucket", "n")  # at most LINE_BUCKETS rows
-    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("h1", "h2"))
-    return kept.withColumn("r", inside).join(F.broadcast(base), "bucket").select("h1", "h2", (F.col("n0") + F.col("r") - 1).alias("rank"))
+    kept = written(kept.select("h1", "h2", "n", F.shiftrightunsigned("h1", 64 - LINE_BUCKETS.bit_length() + 1).alias("bucket")))
+    base = _offsets(kept.groupBy("bucket").agg(F.sum("n").alias("n")), [], "bucket", "n")  # at most LINE_BUCKETS rows
+    w = Window.partitionBy("bucket").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(w), F.lit(0))
+    return kept.withColumn("r", before).join(F.broadcast(base), "bucket").select("h1", "h2", (F.col("n0") + F.col("r")).alias("rank"))
 
 
 def double(suffixes: DataFrame, h: int, width: int) -> DataFrame:

@@ -60,3 +60,19 @@ def test_edges(spark):
     assert len(got) == 6 and sorted(out.columns) == sorted([*df.columns, "lines_before"])
     by = {r.doc_id: r for r in got if r.doc_id != 1}
     assert by[None].text == "a b\nc d" and by[4].text == "" and by[2].text == "\n"[:0] and by[3].text == "w " * 100_000
+
+
+def test_shared_footers_after_a_hot_line(spark):
+    import duckdb
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    rows = []
+    for i in range(240):  # a hot first line with several continuations, and lines of their own that end alike
+        body = [f"head{i % 40}", f"next{rng.randrange(12)}"] if i % 2 else ["hot", f"next{rng.randrange(12)}"]
+        rows.append((i, "\n".join([*body, "footer one", "footer two", *(f"own {i} {j}" for j in range(rng.randrange(3)))])))
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), min_words=10)
+    got = got.select("doc_id", "lines_before", "lines_removed", L.F.md5(L.F.col("text").cast("binary"))).collect()
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    assert sorted(map(tuple, got)) == sorted(con.execute(L.DEDUP_SQL).fetchall())
