@@ -1,11 +1,15 @@
 """Substring dedup by paragraph MinHash banding.
 
 A paragraph is a line; a line of more than MOST words is cut further where the content says so (after a word whose hash, with the next word's,
-ends in zeros), so a passage inside a longer line falls into the same paragraphs wherever it stands. A paragraph's set is its five-word
+ends in zeros), so a passage inside a longer line falls into the same pieces wherever it stands. Such a line is a paragraph as a whole, too, so
+that its near copies are found though an edit keeps pieces apart. A paragraph's set is its five-word
 shingles of lower-cased words (the whole, if it has fewer words). Bands of MinHash values are keys; paragraphs that collide in a band are
 verified by exact Jaccard similarity, and components of the verified links, with equal paragraphs, are the classes. All copies of a
 class but the first (by document id, then place) are removals; a passage counts from `min_words` words of such paragraphs in a row.
 
+A piece's bands are all pairs of the least values of one hash, as many as prefix filtering asks for: two sets that are similar enough share two of
+them for certain. A whole line's bands are of values of many hashes, by `recall`. Lines and pieces are separate classes.
+
 Equal paragraphs are one vertex. Buckets are cut into blocks of bounded size and give spanning forests, not pairs.
 """
 
@@ -58,9 +62,9 @@ def powers(n: int) -> np.ndarray:
 
 
 class Cut:
-    """One text's paragraphs: bounds as word numbers, line, first word in the line; and the hashes of its shingles."""
+    """One text's paragraphs: bounds as word numbers, line, first word in the line; and the hashes of its shingles. `least` is the similarity that counts."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, least: float = 0.8) -> None:
         words, counts = [], []
         for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
             w = line.split()
@@ -95,11 +99,14 @@ class Cut:
         self.end = np.r_[self.start[1:], n] if len(starts) else self.start
         self.line = np.searchsorted(line_start, self.start, "right") - 1
         self.first = self.start - line_start[self.line] if len(starts) else self.start
+        #: Whole lines, numbered after the pieces: those cut further, and shorter ones that can be near copies of such.
+        self.long = np.flatnonzero(np.array(counts) >= max(SHINGLE, least * (MOST + 2 - SHINGLE) + SHINGLE - 1 - 1e-9))
+        self.long_start, self.long_end = line_start[self.long], line_start[self.long + 1]
         self._shingles()
 
     def _shingles(self) -> None:
         x, n = self.hashes, len(self.hashes)
-        self.identity = np.zeros(0, np.uint64)
+        self.identity = self.long_identity = np.zeros(0, np.uint64)
         self.shingles = np.zeros(n, np.uint64)
         self.valid = np.zeros(n, bool)
         if not n:
@@ -108,8 +115,9 @@ class Cut:
         prefix = np.r_[np.uint64(0), np.cumsum(x * p[:n], dtype=np.uint64)]
         back = np.uint64(pow(int(_BASE), -1, 1 << 64))
         inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, back)], dtype=np.uint64)
-        size = self.end - self.start
+        size, long = self.end - self.start, (self.long_end - self.long_start).astype(np.uint64)
         self.identity = mixed((prefix[self.end] - prefix[self.start]) * inverse[self.start] + size.astype(np.uint64) * _MULT)
+        self.long_identity = mixed((prefix[self.long_end] - prefix[self.long_start]) * inverse[self.long_start] + long * _MULT + _BASE)
         last = np.minimum(np.arange(n) + SHINGLE, n)
         self.shingles = mixed((prefix[last] - prefix[:n]) * inverse[:n])
         stop = np.repeat(np.maximum(self.end - SHINGLE + 1, self.start + 1), size)
@@ -117,43 +125,79 @@ class Cut:
         short = np.flatnonzero(size < SHINGLE)
         self.shingles[self.start[short]] = self.identity[short]
 
+    def pair_keys(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of pieces, and each one's piece, in order: pieces with Jaccard similarity >= least, if they differ, have a key in common."""
+        at = np.flatnonzero(self.valid)
+        owner = np.searchsorted(self.start, at, "right") - 1
+        v = mixed(self.shingles[at] ^ _MULT)
+        order = np.lexsort((v, owner))
+        v, owner = v[order], owner[order]
+        new = np.r_[True, (v[1:] != v[:-1]) | (owner[1:] != owner[:-1])][: len(v)]
+        v, owner = v[new], owner[new]
+        size = np.bincount(owner, minlength=len(self.start))
+        need = np.ceil(least * size - 1e-9).astype(np.int64)  # shared shingles, at least
+        depth = np.where(size >= least * (size + 1) - 1e-9, np.minimum(size, size - need + 2), 0)  # smaller sets are similar to equal ones only
+        rank = np.arange(len(v)) - np.r_[0, np.cumsum(size)][owner]
+        keys, of = [v[:0]], [owner[:0]]
+        for gap in range(int(depth.max(initial=0))):
+            i = np.flatnonzero((rank + gap < depth[owner]) & ((gap > 0) | (need[owner] < 2)))
+            keys.append(mixed(v[i] * _MULT + v[i + gap]))
+            of.append(owner[i])
+        of, keys = np.concatenate(of), np.concatenate(keys)
+        order = np.argsort(of, kind="stable")
+        return keys[order], of[order]
+
     def band_keys(self, bands: int) -> np.ndarray:
-        """A key for each paragraph and band."""
-        out = np.zeros((len(self.start), bands), np.uint64)
+        """A key for each whole line and band."""
+        out = np.zeros((len(self.long), bands), np.uint64)
+        if not len(self.long):
+            return out
+        stop = np.stack([self.long_start, self.long_end - SHINGLE + 1], 1).ravel()
         for b in range(bands):
-            key = np.full(len(self.start), b + 1, np.uint64)
+            key = np.full(len(self.long), b + 1, np.uint64)
             for r in range(BAND_ROWS):
-                salt = np.uint64(1 + b * BAND_ROWS + r) * _BASE
-                values = np.where(self.valid, mixed(self.shingles ^ salt), np.uint64(0xFFFFFFFFFFFFFFFF))
-                key = mixed(key * _MULT + np.minimum.reduceat(values, self.start)) if len(self.start) else key
+                odd = mixed(np.array([1 + b * BAND_ROWS + r], np.uint64) * _BASE) | np.uint64(1)
+                key = mixed(key * _MULT + np.minimum.reduceat(self.shingles * odd, stop)[::2])
             out[:, b] = key
         return out
 
     def set_of(self, i: int) -> np.ndarray:
+        if i >= len(self.start):
+            i -= len(self.start)
+            return np.unique(self.shingles[self.long_start[i] : self.long_end[i] - SHINGLE + 1])
         a, b = self.start[i], self.end[i]
         return np.unique(self.shingles[a:b][self.valid[a:b]])
 
+    def rows(self, least: float, bands: int) -> tuple[np.ndarray, ...]:
+        """Columns line, first word, words, identity, keys, number of keys: pieces, then whole lines."""
+        keys, of = self.pair_keys(least)
+        lines = self.band_keys(bands)
+        n = np.r_[np.bincount(of, minlength=len(self.start)), np.full(len(self.long), bands)]
+        words = np.r_[self.end - self.start, self.long_end - self.long_start]
+        return np.r_[self.line, self.long], np.r_[self.first, np.zeros(len(self.long), np.int64)], words, np.r_[self.identity, self.long_identity], np.r_[keys, lines.ravel()], n
+
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str, bands: int) -> DataFrame:
-    """(doc, para, line, first_word, words, h, keys): every paragraph of every text with a non-null id."""
+def paragraphs(docs: DataFrame, id_col: str, text_col: str, least: float, bands: int) -> DataFrame:
+    """(doc, para, line, first_word, words, h, whole, keys): every paragraph of every text with a non-null id; `whole` are lines beside their pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                cuts = [Cut(t or "") for t in part.column(1).to_pylist()]
-                n = [len(c.start) for c in cuts]
-                cat = lambda f, t: pa.array(np.concatenate([f(c) for c in cuts]).astype(t))
-                keys = np.concatenate([c.band_keys(bands) for c in cuts]).view(np.int64).ravel()
+                cuts = [Cut(t or "", least) for t in part.column(1).to_pylist()]
+                n = [len(c.start) + len(c.long) for c in cuts]
+                line, first, words, h, keys, many = (np.concatenate(x) for x in zip(*(c.rows(least, bands) for c in cuts)))
+                para = np.concatenate([np.arange(k) for k in n])
+                whole = np.concatenate([np.arange(k) >= len(c.start) for k, c in zip(n, cuts)])
                 cols = [
-                    part.column(0).take(pa.array(np.repeat(np.arange(len(cuts)), n))), cat(lambda c: np.arange(len(c.start)), np.int32), cat(lambda c: c.line, np.int32), cat(lambda c: c.first, np.int32),
-                    cat(lambda c: c.end - c.start, np.int32), pa.array(np.concatenate([c.identity for c in cuts]).view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(keys), bands).cast(pa.list_(pa.int64())),
+                    part.column(0).take(pa.array(np.repeat(np.arange(len(cuts)), n))), *(pa.array(x.astype(np.int32)) for x in (para, line, first, words)), pa.array(h.view(np.int64)), pa.array(whole),
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(keys.view(np.int64))),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "para", "line", "first_word", "words", "h", "keys"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "para", "line", "first_word", "words", "h", "whole", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return arrow_map(rows, run, f"doc {kind}, para int, line int, first_word int, words int, h bigint, keys array<bigint>")
+    return arrow_map(rows, run, f"doc {kind}, para int, line int, first_word int, words int, h bigint, whole boolean, keys array<bigint>")
 
 
 def _semi(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -225,7 +269,7 @@ def verified_links(groups: DataFrame, least: float) -> DataFrame:
     return arrow_map(dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y"), run, "src bigint, dst bigint")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     """(h, shingles) for wanted(doc, para), which has one place for each h: the texts are cut again, only where a candidate stands."""
     per = wanted.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_list("para")).alias("_paras"))  # bounded by a document's paragraphs
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(per, F.col("id") == F.col("_doc")).select("text", "_paras")
@@ -235,42 +279,53 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
             for at in range(0, b.num_rows, 256):
                 part, h, sets = b.slice(at, 256), [], []
                 for text, paras in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    c = Cut(text or "")
+                    c = Cut(text or "", least)
+                    identity = np.r_[c.identity, c.long_identity]
                     for i in paras:
-                        if i < len(c.start):
-                            h.append(c.identity[i])
+                        if i < len(identity):
+                            h.append(identity[i])
                             sets.append(c.set_of(i).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["h", "shingles"])
 
     return arrow_map(rows, run, "h bigint, shingles array<bigint>").dropDuplicates(["h"])
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.95, min_words: int = 16) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.9999, min_words: int = 16) -> DataFrame:
     """(doc, para, line, first_word, words, component_id, kept): the paragraphs of repeated passages.
 
     component_id is the class (a number, the smallest paragraph hash of the class); kept marks its first paragraph by doc, para. Only paragraphs that stand in a row of at least
-    min_words words of paragraphs with a copy are returned. Pairs at the similarity itself collide with probability `recall` (0.95: three
-    bands; equal paragraphs always). Null texts have no paragraphs; rows with a null id are left out and lend no copies; rows that
+    min_words words of paragraphs with a copy are returned. No link of pieces is lost; whole lines at the similarity itself collide with
+    probability `recall`. A whole line is returned, beside its pieces and numbered after them, if its class has unequal lines, one of them
+    cut further. Pieces of a removed line are never kept, so a piece's first copy elsewhere is.
+    Null texts have no paragraphs; rows with a null id are left out and lend no copies; rows that
     share an id are texts of one document. Paragraphs are equal if their 64-bit hashes are.
     """
-    t = written(paragraphs(docs, id_col, text_col, bands_for(similarity, recall)))
+    t = written(paragraphs(docs, id_col, text_col, similarity, bands_for(similarity, recall)))
     keyed = t.select("h", F.explode("keys").alias("key"))
     near = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
     groups = written(_semi(keyed, written(near), "key").distinct())
     some = groups.select("h").distinct()
     places = t.groupBy("h").agg(F.min(F.struct("doc", "para")).alias("p"))  # before the join: a paragraph with most rows is one row from each task
     places = _semi(places, written(some), "h").select("p.doc", "p.para")
-    sets = shingle_sets(docs, written(places), id_col, text_col)
+    sets = shingle_sets(docs, written(places), id_col, text_col, similarity)
     comp = connected_components(verified_links(written(groups.join(sets, "h")), similarity)).select(F.col("node").alias("h"), "component")
     many = t.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").join(comp, "h", "full")
-    classes = written(many.select("h", F.coalesce("component", "h").alias("component_id")))
-    rows = written(t.drop("keys").join(classes, "h"))  # one join and nothing else by this key, so AQE can split a hot one
-    first = rows.groupBy("component_id").agg(F.min(F.struct("doc", "para")).alias("_f")).select("component_id", "_f.doc", "_f.para", F.lit(True).alias("_kept"))
+    classes = written(many.select("h", F.coalesce("component", "h").alias("component_id"), F.col("component").isNotNull().alias("_near")))
+    rows = written(t.drop("keys").join(classes, "h").where("NOT whole OR _near"))  # one join and nothing else by this key, so AQE can split a hot one
+    lines, rows = rows.where("whole"), rows.where("NOT whole")
+    line_classes = lines.groupBy("component_id").agg(F.max("words").alias("_most"), F.min(F.struct("doc", "para")).alias("_f")).where(F.col("_most") > MOST)
+    lines = _semi(lines, line_classes.select("component_id"), "component_id").where(F.col("words") >= min_words)
+    line_first = line_classes.select("component_id", "_f.doc", "_f.para", F.lit(True).alias("_kept"))
+    lines = written(lines.join(line_first, ["doc", "para", "component_id"], "left").withColumn("_kept", F.coalesce("_kept", F.lit(False))))
+    gone = lines.where("NOT _kept").select("doc", "line", F.lit(True).alias("_gone")).distinct()
+    stay = rows.join(gone, ["doc", "line"], "left_anti")
+    first = stay.groupBy("component_id").agg(F.min(F.struct("doc", "para")).alias("_f")).select("component_id", "_f.doc", "_f.para", F.lit(True).alias("_kept"))
     by_place = Window.partitionBy("doc").orderBy("para")
     rows = rows.withColumn("_new", F.when(F.col("para") - F.lag("para").over(by_place) <= 1, 0).otherwise(1))
     rows = rows.withColumn("_run", F.sum("_new").over(by_place)).withColumn("_total", F.sum("words").over(Window.partitionBy("doc", "_run")))
     rows = rows.where(F.col("_total") >= min_words).join(first, ["doc", "para", "component_id"], "left")  # by place, so a class with most rows is spread
-    return rows.select("doc", "para", "line", "first_word", "words", "component_id", F.coalesce("_kept", F.lit(False)).alias("kept"))
+    out = ["doc", "para", "line", "first_word", "words", "component_id", F.coalesce("_kept", F.lit(False)).alias("kept")]
+    return rows.select(*out).unionAll(lines.select(*out))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -293,7 +348,11 @@ def without(text: str | None, gone: list[dict]) -> str | None:
     """text without the given (line, first_word, words)."""
     if text is None:
         return None
-    lines = text.split("\n")
+    lines, head = text.split("\n"), {}
+    for g in gone:
+        if not g["first_word"]:
+            head[g["line"]] = max(head.get(g["line"], 0), g["words"])
+    gone = [g for g in gone if g["first_word"] + g["words"] > head.get(g["line"], 0) or not g["first_word"] and g["words"] == head[g["line"]]]  # pieces of a whole line go with it
     for g in sorted(gone, key=lambda g: (-g["line"], -g["first_word"])):
         if g["line"] < len(lines):
             line = lines[g["line"]]

@@ -125,3 +125,36 @@ def test_edges(spark):
     rows = [(None, line, 1, "x"), (1, line, 1, "x"), (1, line, 1, "x"), (2, "w " * 150_000, 1, "x"), (3, None, 1, "x")]
     got = P.repeated_paragraphs(spark.createDataFrame(rows, t)).collect()
     assert {r.doc for r in got} == {1, 2} and sum(r.doc == 1 for r in got) == 2
+
+
+def test_registered_query_loses_no_pair_at_the_similarity(spark, tmp_path):
+    from tabulon.llm.queries import op4_substring_dedup
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        w = words(rng, 24)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[2:], *words(rng, 2)]))]  # 18 of 22 shingles shared
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op4_substring_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(range(800)) and sum(r.kept for r in got) == 400
+
+
+def test_near_copies_of_long_lines(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(60):
+        w = words(rng, 100)
+        v = list(w)
+        v[25], v[75] = "edited", "twice"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, f"own {i}\n" + " ".join(v))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r.text for r in P.remove_repeats(df).collect()}
+    assert all(out[2 * i] == rows[2 * i][1] and out[2 * i + 1] == f"own {i}\n" for i in range(60))
+
+
+def test_a_short_line_and_a_longer_near_copy(spark):
+    rng = random.Random(8)
+    w = words(rng, 36)
+    got = P.repeated_paragraphs(spark.createDataFrame([(1, " ".join(w[:31])), (2, " ".join(w))], "doc_id bigint, text string")).collect()
+    assert {(r.doc, r.first_word, r.words, r.kept) for r in got} >= {(1, 0, 31, True), (2, 0, 36, False)}
