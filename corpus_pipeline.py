@@ -14,6 +14,8 @@ from tabulon.llm.common import written
 
 #: Documents whose score is lower go.
 KEEP_SCORE = 0.3
+#: Near-duplicates are at least so similar.
+LIKE = 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, the one with the smallest id."""
-    return simhash.keep_first(docs).select(*docs.columns)
+    """One document of each near-duplicate group, the one with the smallest id: linked by SimHash, or by Jaccard similarity of five-word shingles from LIKE up."""
+    return simhash.keep_first(docs, similarity=LIKE).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

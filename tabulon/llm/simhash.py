@@ -16,11 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, shingle_hashes, words_of, written
 from .components import connected_components
+from .paragraphs import BAND_ROWS, bands_for, mixed, verified_links
 
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Fingerprints in a block; a group holds two blocks at most.
@@ -29,6 +31,8 @@ BLOCK = 4096
 SMALL_GROUP = 12
 #: Shingle hashes turned to bits at a time.
 HASHES_AT_ONCE = 1 << 16
+#: Words of a shingle where the likeness of texts counts, and the probability that a pair at the similarity is compared.
+LIKE_WORDS, LIKE_RECALL = 5, 0.9999
 
 
 def bit_majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -54,17 +58,19 @@ def fingerprint_texts(texts: list[str | None], shingle_words: int) -> np.ndarray
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(id, fp bigint): SimHash over whole texts. Null and empty texts have fingerprint 0."""
+    """(id, fp bigint, h bigint): SimHash over whole texts, and the hash of their words. Null and empty texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):  # keeps the hashes of a few hundred texts in memory
                 part = b.slice(at, 512)
-                fps = fingerprint_texts(part.column(1).to_pylist(), shingle_words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+                texts = part.column(1).to_pylist()
+                fps = fingerprint_texts(texts, shingle_words)
+                h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words_of(t))) for t in texts), np.uint64, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), pa.array(h.view(np.int64))], names=["id", "fp", "h"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp bigint")
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp bigint, h bigint")
 
 
 def ring_keys(fp: Column) -> Column:
@@ -160,17 +166,73 @@ def candidate_links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     return arrow_map(sorted_groups, run, "src bigint, dst bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, distance: int = 3) -> DataFrame:
+def text_sets(texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each text the hash of its words and the set of its shingles of LIKE_WORDS words."""
+    words = [words_of(t) for t in texts]
+    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words))
+    return h, [np.unique(np.array(shingle_hashes(w, LIKE_WORDS), np.uint64)) for w in words]
+
+
+def like_links(docs: DataFrame, fps: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(src, dst) of fingerprints: texts whose shingle sets have Jaccard similarity >= similarity, by MinHash bands and verified exactly. Texts
+    without words or with a null id have no link."""
+    bands = bands_for(similarity, LIKE_RECALL)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = mixed(np.arange(1, bands * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+        salt = np.arange(1, bands + 1, dtype=np.uint64)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                h, sets = text_sets(part.column(1).to_pylist())
+                out = np.zeros((len(sets), bands), np.uint64)
+                for i, x in enumerate(sets):
+                    if len(x):
+                        least = np.array([(x * o).min() for o in odd]).reshape(bands, BAND_ROWS)
+                        key = salt
+                        for r in range(BAND_ROWS):
+                            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[:, r])
+                        out[i] = key
+                some = pa.array([len(x) > 0 for x in sets])
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(out.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h.view(np.int64)), lists], names=["id", "h", "keys"]).filter(some)
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                h, sets = text_sets(b.slice(at, 256).column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["h", "shingles"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    t = written(arrow_map(rows, keys, f"id {kind}, h bigint, keys array<bigint>"))
+    keyed = t.select("h", F.explode("keys").alias("key"))
+    near = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
+    groups = written(keyed.join(written(near), "key", "left_semi").distinct())
+    some = written(t.groupBy("h").agg(F.min("id").alias("id")).join(groups.select("h").distinct(), "h", "left_semi"))
+    sets = arrow_map(rows.join(some.select("id").distinct(), "id", "left_semi").select("text"), sets_of, "h bigint, shingles array<bigint>").dropDuplicates(["h"])
+    links = verified_links(written(groups.join(sets, "h")), similarity)
+    fp = written(fps.select("h", "fp").join(some.select("h"), "h", "left_semi").distinct())
+    a, b = fp.select(F.col("h").alias("src"), F.col("fp").alias("a")), fp.select(F.col("h").alias("dst"), F.col("fp").alias("b"))
+    return links.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, distance: int = 3, similarity: float | None = None) -> DataFrame:
     """(id, fp, component_id): the smallest id reachable over links of fingerprints that differ in at most `distance` (0 to 3) bits.
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated ids give repeated rows; a null id takes the component
     of its fingerprint but is never the smallest (null if its component has null ids only). Extra columns aren't read.
+    With `similarity`, texts whose sets of five-word shingles have that Jaccard similarity are linked, too.
     """
     if not 0 <= distance < SEGMENTS:
         raise ValueError(f"distance must be 0 to {SEGMENTS - 1}")
     fps = written(fingerprints(docs, id_col, text_col, shingle_words))
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    comp = connected_components(candidate_links(nodes, distance)) if distance else None
+    links = candidate_links(nodes, distance) if distance else None
+    if similarity is not None:
+        like = like_links(docs, fps, id_col, text_col, similarity)
+        links = like if links is None else links.unionAll(like)
+    comp = connected_components(links) if links is not None else None
     if comp is None:
         return fps.join(nodes, "fp").select("id", "fp", F.col("least").alias("component_id"))
     root = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
@@ -184,7 +246,7 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, distance: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, distance: int = 3, similarity: float | None = None) -> DataFrame:
     """The documents whose id is the smallest of its near-duplicate group; rows with a null id stay, and so do all rows of a repeated smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, shingle_words, distance).where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, shingle_words, distance, similarity).where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -70,3 +70,16 @@ def test_run_and_empty_tables(spark, tmp_path):
         spark.createDataFrame([(i, 1, 0) for i in range(20)][: len(part)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         assert (C.run(spark, f"{tmp_path}/{name}").count() > 0) == bool(part)
     assert simhash.SEGMENTS == 4
+
+
+def test_near_dedup_reaches_the_similarity(spark, tmp_path):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+        v = list(w)
+        for k in range(1 + i % 6):  # at six changes 266 of 326 shingles are shared
+            v[20 + 50 * k] = f"x{i}y{k}"
+        rows += [(2 * i, " ".join(w), "en", "s", 1), (2 * i + 1, " ".join(v), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in C.near_dedup_stage(spark, docs, "").collect()} == set(range(0, 120, 2))
