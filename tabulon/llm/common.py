@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -43,13 +44,32 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Only where that is unset (tests, one machine) a temp folder takes its place."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if top is None:
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where that is unset, one machine's temp folder does if all runs on
+    that machine; on a cluster it is an error."""
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = os.path.join(tempfile.gettempdir(), "tabulon-scratch")
     return f"{top.rstrip('/')}/t-{uuid.uuid4().hex}"
 
 
+def column(name: str) -> Column:
+    """The column of that very name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """All columns of df as one struct `_row`, beside `more`: whatever df's columns are called, they can't clash with an operator's own."""
+    return df.select(F.struct(*map(column, df.columns)).alias("_row"), *more)
+
+
+def unpacked(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The columns `names` out of _row, and new ones; a new column takes the place of one of its name."""
+    return df.select(*(new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in names), *(v.alias(k) for k, v in new.items() if k not in names))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts lineage, survives lost executors and is computed once."""
     spark = df.sparkSession

@@ -3,8 +3,14 @@
 Every line becomes an ID (the number of positions of smaller lines, among the lines that occur more than once); a document is a sequence of IDs, and a line that occurs
 once ends every common prefix, so its suffix needs no place in the array. Prefix doubling then ranks suffixes by their first 1, 2, 4, ...
 lines: the pair (rank at p, rank at p + h) orders suffixes by 2h lines. Suffixes with equal rank after a round are an interval of the suffix
-array whose longest common prefix is at least 2h lines; suffixes alone in their interval are finished and leave the table. All
-but the first position of an interval start a later copy of a repeated run, and the runs' union, over all rounds, is deleted.
+array whose longest common prefix is at least 2h lines; suffixes alone in their interval are finished and leave the table.
+
+The intervals of all other prefix lengths come from the rounds' ranks by binary lifting, from the longest round down: suffixes of an interval of
+l lines that agree in the rank, by h lines, of what follows those l lines are an interval of l + h lines. A suffix rests in the deepest interval of
+which it isn't the earliest member, and that interval's length is exactly how long a run at an earlier place repeats at this one. Only an interval's
+earliest member and those that rest in it are carried on, so the table has at most two rows for each suffix, however deep intervals are nested.
+
+Runs that lie inside the run of the line before aren't maximal and go; a maximal run is a later copy, and deleted, if its lines have enough words together.
 
 Ranks are order-preserving: rank = rank of the first half + place of the second half among its companions. Only distinct pairs with two
 or more suffixes are ordered, in buckets of bounded width, so a line that fills a third of all positions is one row to the window.
@@ -15,10 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, word_count, written
+from .common import column, drop_written, packed, unpacked, word_count, written
 
 #: Buckets that order the distinct lines by hash.
 LINE_BUCKETS = 4096
+#: What names a document: its id, and the hash of its text, which tells rows that share an id apart.
+DOC = ["doc", "tie"]
+PLACE = [*DOC, "line"]
 
 
 def split_lines(text: Column) -> Column:
@@ -27,9 +36,9 @@ def split_lines(text: Column) -> Column:
 
 
 def line_positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line, h1, h2, words): every line's place and 128-bit ID."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(split_lines(F.col(text_col))).alias("line", "s"))
-    return lines.select("doc", "line", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2"), word_count(F.col("s")).alias("words"))
+    """(doc, tie, line, h1, h2, words): every line's place and 128-bit ID."""
+    lines = docs.select(column(id_col).alias("doc"), F.xxhash64(column(text_col)).alias("tie"), F.posexplode(split_lines(column(text_col))).alias("line", "s"))
+    return lines.select(*PLACE, F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2"), word_count(F.col("s")).alias("words"))
 
 
 def _offsets(per: DataFrame, group: list[str], bucket: str, n: str) -> DataFrame:
@@ -48,86 +57,132 @@ def first_ranks(positions: DataFrame) -> DataFrame:
     return kept.withColumn("r", before).join(F.broadcast(base), "bucket").select("h1", "h2", (F.col("n0") + F.col("r")).alias("rank"))
 
 
-def double(suffixes: DataFrame, h: int, width: int) -> DataFrame:
-    """(doc, line, rank, first) by 2h lines from suffixes(doc, line, rank) by h lines. `first` marks the earliest position of an interval; suffixes alone
-    in theirs are gone. `width` is the range of second ranks that a bucket orders."""
-    ahead = F.max("rank").over(Window.partitionBy("doc").orderBy("line").rangeBetween(h, h))
-    pairs = suffixes.select("doc", "line", F.col("rank").alias("a"), ahead.alias("b")).where("b IS NOT NULL")
-    return rank_pairs(pairs, width)
-
-
 def rank_pairs(pairs: DataFrame, width: int) -> DataFrame:
-    keys = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line")).alias("least")).where("n > 1")
+    """(doc, tie, line, rank, f) from pairs(doc, tie, line, a, b): f is the earliest place of the pair's interval. Pairs that occur once are gone.
+    `width` is the range of second ranks that a bucket orders, so a window's group has at most so many rows."""
+    keys = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("f")).where("n > 1")
     keys = keys.withColumn("bucket", F.floor(F.col("b") / width))
     base = _offsets(keys.groupBy("a", "bucket").agg(F.sum("n").alias("n")), ["a"], "bucket", "n")
     w = Window.partitionBy("a", "bucket").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     ranked = keys.withColumn("n1", F.coalesce(F.sum("n").over(w), F.lit(0))).join(base, ["a", "bucket"])
-    ranked = ranked.select("a", "b", "least", (F.col("a") + F.col("n0") + F.col("n1")).alias("rank"))
-    return pairs.join(ranked, ["a", "b"]).select("doc", "line", "rank", (F.struct("doc", "line") == F.col("least")).alias("first"))
+    ranked = ranked.select("a", "b", "f", (F.col("a") + F.col("n0") + F.col("n1")).alias("rank"))
+    return pairs.join(ranked, ["a", "b"]).select(*PLACE, "rank", "f")
+
+
+def double(suffixes: DataFrame, h: int, width: int) -> DataFrame:
+    """rank_pairs() by 2h lines from suffixes(doc, tie, line, rank) by h lines; suffixes alone in their interval are gone."""
+    ahead = F.max("rank").over(Window.partitionBy(*DOC).orderBy("line").rangeBetween(h, h))
+    pairs = suffixes.select(*PLACE, F.col("rank").alias("a"), ahead.alias("b")).where("b IS NOT NULL")
+    return rank_pairs(pairs, width)
+
+
+def _later() -> Column:
+    """Whether the row's place isn't the earliest of its interval."""
+    return F.struct(*PLACE) != F.col("f")
+
+
+def _earliest(f: str, length: Column | str) -> list[Column]:
+    """An interval's earliest member as a row of the interval."""
+    return [*(F.col(f).getField(c).alias(c) for c in PLACE), (F.col(length) if isinstance(length, str) else length).alias("lines"), F.col(f).alias("f")]
+
+
+def longest_copies(levels: list[DataFrame]) -> DataFrame:
+    """(doc, tie, line, lines, f): for each place where a run starts that also stands at an earlier place, the longest such run and the earliest place
+    of its interval. levels[i] is rank_pairs() by 2^i lines."""
+    now = None
+    for i in reversed(range(len(levels))):
+        h, level = 1 << i, levels[i]
+        new = level.where(_later())
+        if i + 1 < len(levels):  # those that are later members at twice the length rest there or deeper
+            new = new.join(levels[i + 1].where(_later()).select(*PLACE), PLACE, "left_anti")
+        new = new.select(*PLACE, F.lit(h).alias("lines"), "f")
+        rows = new.unionAll(new.select("f").distinct().select(*_earliest("f", F.lit(h))))
+        if now is not None:
+            ahead = level.select(*DOC, F.col("line").alias("at"), "rank")
+            seen = now.withColumn("at", F.col("line") + F.col("lines")).join(ahead, [*DOC, "at"], "left").drop("at")
+            parts = seen.where("rank IS NOT NULL").groupBy("f", "lines", "rank").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("g")).where("n > 1").drop("n")
+            parts = written(parts)
+            seen = seen.join(parts, ["f", "lines", "rank"], "left")
+            deeper = F.col("g").isNotNull() & (F.struct(*PLACE) != F.col("g"))
+            rows = rows.unionAll(seen.select(*PLACE, F.when(deeper, F.col("lines") + h).otherwise(F.col("lines")).alias("lines"), F.when(deeper, F.col("g")).otherwise(F.col("f")).alias("f")))
+            rows = rows.unionAll(parts.select(*_earliest("g", F.col("lines") + h)))
+        now = written(rows)
+    return now.where(_later())
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, rank_width: int = 1_000_000) -> DataFrame:
-    """(doc, from_line, to_line, run_lines): the line runs to delete from each document, to_line included, merged where they touch.
+    """(doc, tie, line, lines, words): the maximal line runs that are later copies, with their exact length in lines and words. They can overlap.
 
-    A run is a later copy if the same lines stand at an earlier position (by id, then line; positions may overlap) and it has two lines or
-    more, or is one line of at least `min_words` words. run_lines is the depth of the deepest interval in which a line of
-    the run began a later copy: the longest power of two of lines that still has an earlier copy.
+    A run is a later copy if the same lines stand at an earlier place (by id, hash of the text, line; the two may overlap), and is reported if it has
+    at least `min_words` words and isn't part of the run that starts a line earlier. Null texts have no lines; rows with a null id have no runs and lend
+    none; rows equal in id and text are one document. An empty table has no runs.
     """
-    positions = line_positions(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    lines = first_ranks(positions)
-    at = positions.join(lines, ["h1", "h2"]).select("doc", "line", F.col("rank").alias("a"), F.lit(0).cast("bigint").alias("b"), "words")
+    positions = line_positions(docs.where(column(id_col).isNotNull()), id_col, text_col)
+    at = positions.join(first_ranks(positions), ["h1", "h2"]).select(*PLACE, F.col("rank").alias("a"), F.lit(0).cast("bigint").alias("b"), "words").dropDuplicates(PLACE)
     at = written(at)
-    words = at.select("doc", "line", "words")
-    now = written(rank_pairs(at.select("doc", "line", "a", "b"), rank_width).join(words, ["doc", "line"]))
-    copies = [now.where(~F.col("first") & (F.col("words") >= min_words)).select("doc", "line", F.lit(1).alias("h"))]
-    now, h = now.select("doc", "line", "rank"), 1
+    levels = [written(rank_pairs(at.select(*PLACE, "a", "b"), rank_width))]
     while True:
-        new = written(double(now, h, rank_width))
-        h *= 2
+        new = written(double(levels[-1].select(*PLACE, "rank"), 1 << (len(levels) - 1), rank_width))
         if new.isEmpty():
             drop_written(new)
             break
-        copies.append(new.where(~F.col("first")).select("doc", "line", F.lit(h).alias("h")))
-        now = new
-    starts = copies[0]
-    for c in copies[1:]:
-        starts = starts.unionAll(c)
-    starts = starts.groupBy("doc", "line").agg(F.max("h").alias("h"))  # the union over rounds: the deepest covers the shallower
-    by_line = Window.partitionBy("doc").orderBy("line")
-    end = F.col("line") + F.col("h") - 1
-    reach = F.max(end).over(by_line.rowsBetween(Window.unboundedPreceding, -1))
-    marked = starts.withColumn("new", F.when(F.col("line") <= F.coalesce(reach, F.lit(-2)) + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_line))
-    return marked.groupBy("doc", "run").agg(F.min("line").alias("from_line"), F.max(end).alias("to_line"), F.max("h").alias("run_lines")).drop("run")
+        levels.append(new)
+    by_line = Window.partitionBy(*DOC).orderBy("line")
+    end = F.col("line") + F.col("lines") - 1
+    runs = longest_copies(levels).select(*PLACE, "lines", end.alias("end"), F.lag(end).over(by_line).alias("before"))
+    runs = runs.where("before IS NULL OR end > before")  # ends never fall along a document, so the line before decides
+    upto = written(at.select(*PLACE, "words", F.sum("words").over(by_line).alias("upto")))
+    runs = runs.join(upto.select(*PLACE, (F.col("upto") - F.col("words")).alias("w0")), PLACE).join(upto.select(*DOC, F.col("line").alias("end"), "upto"), [*DOC, "end"])
+    return runs.select(*PLACE, "lines", (F.col("upto") - F.col("w0")).alias("words")).where(F.col("words") >= min_words)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
-    """docs with `text` without the later copies of repeated line runs, and new columns lines_before, lines_removed (a clashing column is replaced).
+    """docs with `text` without the later copies of repeated line runs, and new columns lines_before, lines_removed, n_runs (maximal runs
+    deleted, which can overlap) and longest_run (lines of the longest). A column of such a name is replaced; no other column matters, whatever its name.
 
-    Null texts stay null with 0 lines. A document with a null id is left as it is and lends no copies. Rows that share an id are
-    laid over each other: a line number is deleted from all of them if it is from one. An empty table gives no rows.
+    Null texts stay null with 0 lines. A document with a null id is left as it is and lends no copies. Of rows that share an id, the
+    one whose text has the smaller hash is the earlier one; rows equal in id and text are one document and keep the same lines. An empty table gives no rows.
     """
-    runs = repeated_runs(docs, id_col, text_col, min_words)
-    gone = runs.groupBy("doc").agg(F.collect_list(F.struct("from_line", "to_line")).alias("_runs"))  # bounded by one document's lines
-    docs = docs.drop("lines_before", "lines_removed")
-    out = docs.join(gone, docs[id_col] == gone["doc"], "left")
-    lines = split_lines(F.col(text_col))
-    kept = F.filter(lines, lambda _, i: ~F.exists("_runs", lambda r: (i >= r["from_line"]) & (i <= r["to_line"])))
-    text = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.size(lines), F.lit(0)).cast("bigint")
-    n = F.when(F.col(text_col).isNull(), F.lit(0).cast("bigint")).otherwise(n)
-    overlap = F.aggregate("_runs", F.lit(0).cast("bigint"), lambda acc, r: acc + F.greatest(F.lit(0), F.least(r["to_line"].cast("bigint") + 1, F.col("lines_before")) - F.least(r["from_line"].cast("bigint"), F.col("lines_before"))))
-    out = out.withColumn("lines_before", n).withColumn("lines_removed", F.coalesce(overlap, F.lit(0).cast("bigint")))
-    return out.withColumn(text_col, text).drop("doc", "_runs") if "doc" not in docs.columns else out.withColumn(text_col, text).drop(gone["doc"]).drop("_runs")
-
-
-#: What the suffix array comes to, by definition: first occurrences of lines and of pairs of neighbouring lines.
+    by_line = Window.partitionBy(*DOC).orderBy("line")
+    runs = repeated_runs(docs, id_col, text_col, min_words).withColumn("end", F.col("line") + F.col("lines") - 1)
+    reach = F.max("end").over(by_line.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("new", F.when(F.col("line") <= F.coalesce(reach, F.lit(-1)), 0).otherwise(1)).withColumn("part", F.sum("new").over(by_line))
+    parts = runs.groupBy(*DOC, "part").agg(F.min("line").alias("from_line"), F.max("end").alias("to_line"), F.count("*").alias("n_runs"), F.max("lines").alias("longest_run"))
+    gone = parts.groupBy(*DOC).agg(  # bounded by one document's lines
+        F.array_sort(F.collect_list(F.struct("from_line", "to_line"))).alias("gone"), F.sum("n_runs").alias("n_runs"), F.max("longest_run").cast("bigint").alias("longest_run"), F.sum(F.col("to_line") - F.col("from_line") + 1).alias("removed")
+    )
+    rows = packed(docs, column(id_col).alias("id"), column(text_col).alias("text"), F.xxhash64(column(text_col)).alias("h"))
+    out = rows.join(gone, (F.col("id") == F.col("doc")) & (F.col("h") == F.col("tie")), "left")
+    lines, runs_of = split_lines(F.col("text")), F.col("gone")
+    start = lambda i: F.coalesce(F.get(runs_of, i - 1)["to_line"] + 1, F.lit(0))
+    stop = lambda i: F.coalesce(F.get(runs_of, i)["from_line"], F.size(lines))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), lambda i: F.slice(lines, start(i) + 1, stop(i) - start(i))))
+    text = F.when(runs_of.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("bigint")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return unpacked(out, docs.columns, **{text_col: text, "lines_before": n, "lines_removed": zero("removed"), "n_runs": zero("n_runs"), "longest_run": zero("longest_run")})
+
+
+#: The same by definition: windows of 1, 2, 3, ... lines, each named by the first place where it stands, for as long as one of them stands twice.
 DEDUP_SQL = r"""
-WITH l AS (SELECT doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS i, unnest(string_split(text, chr(10))) AS s FROM documents WHERE text IS NOT NULL),
-p AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS t FROM l),
-n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n1, row_number() OVER (PARTITION BY s, t ORDER BY doc_id, i) AS n2,
-        len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS words FROM p),
-c AS (SELECT *, t IS NOT NULL AND n2 > 1 AS pair FROM n),
-g AS (SELECT *, (words >= 10 AND n1 > 1) OR pair OR coalesce(lag(pair) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM c),
-r AS (SELECT doc_id, count(*) AS lines_before, count(*) FILTER (gone) AS lines_removed, coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
-SELECT d.doc_id, coalesce(r.lines_before, 0) AS lines_before, coalesce(r.lines_removed, 0) AS lines_removed, md5(r.kept) AS kept_md5 FROM documents d LEFT JOIN r USING (doc_id)
+WITH RECURSIVE l AS (
+  SELECT doc_id, i, s, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (ORDER BY doc_id, i) AS pos
+  FROM (SELECT doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS i, unnest(string_split(text, chr(10))) AS s FROM documents WHERE text IS NOT NULL)),
+e AS (SELECT doc_id, i, pos, min(pos) OVER (PARTITION BY s) AS id, count(*) OVER (PARTITION BY s) AS n, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto, words FROM l),
+w AS (
+  SELECT 1 AS lines, doc_id, i, pos, id FROM e WHERE n > 1
+  UNION ALL
+  SELECT lines + 1, doc_id, i, pos, id FROM (
+    SELECT w.lines, w.doc_id, w.i, w.pos, min(w.pos) OVER (PARTITION BY w.id, e.id) AS id, count(*) OVER (PARTITION BY w.id, e.id) AS n
+    FROM w JOIN e ON e.doc_id = w.doc_id AND e.i = w.i + w.lines AND e.n > 1) WHERE n > 1),
+m AS (SELECT doc_id, i, max(lines) AS lines FROM w WHERE id < pos GROUP BY ALL),
+x AS (SELECT *, lag(i + lines) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM m),
+r AS (SELECT x.doc_id, x.i, x.lines FROM x JOIN e a ON a.doc_id = x.doc_id AND a.i = x.i JOIN e b ON b.doc_id = x.doc_id AND b.i = x.i + x.lines - 1
+      WHERE (before IS NULL OR x.i + x.lines > before) AND b.upto - a.upto + a.words >= 10),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + lines - 1)) AS i FROM r),
+k AS (SELECT l.doc_id, count(*) AS lines_before, count(g.i) AS lines_removed, coalesce(string_agg(s, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS kept FROM l LEFT JOIN g USING (doc_id, i) GROUP BY l.doc_id),
+c AS (SELECT doc_id, count(*) AS n_runs, max(lines) AS longest_run FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.lines_before, 0) AS lines_before, coalesce(k.lines_removed, 0) AS lines_removed, md5(k.kept) AS kept_md5,
+  coalesce(c.n_runs, 0) AS n_runs, coalesce(c.longest_run, 0)::BIGINT AS longest_run
+FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
 """

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import DEDUP_SQL
 from .lines import DEDUP_SQL
 from .mixing import TAKEN_SQL
 
@@ -48,7 +47,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
     out = dedup_lines(_docs(spark, sf_dir), min_words=10)
-    return out.select("doc_id", "lines_before", "lines_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+    return out.select("doc_id", "lines_before", "lines_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"), "n_runs", "longest_run")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
