@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space, as bytes.split() cuts them.
@@ -115,22 +115,22 @@ def shingle_hashes(words: list[bytes], k: int, seed: int = 42) -> list[int]:
     return [h(joined[a:b], seed) for a, b in zip(starts, ends)]
 
 
-def order_cuts(df: DataFrame, key: str, rows_per_bucket: int = 50_000, most: int = 4096) -> list:
-    """Ascending cut points of key that deal rows to buckets of about equal size. At most `most` values come to the driver, however large df is."""
-    n = df.count()
-    buckets = int(min(most, max(8, -(-n // rows_per_bucket))))
-    at = [i / buckets for i in range(1, buckets)]
-    got = df.select(F.percentile_approx(key, F.array(*map(F.lit, at)), 10 * buckets).alias("q")).first()
-    return sorted({x for x in (got["q"] or []) if x is not None})
-
-
-def bucket_of(key: Column, cuts: list) -> Column:
-    """How many cut points are at or below key, by binary search in nested WHENs (depth log2); null keys go first, to bucket 0."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return F.when(key.isNull(), F.lit(0)).otherwise(search(0, len(cuts)))
+def in_order(rows: DataFrame, order: list[str], per_part: int) -> DataFrame:
+    """rows sorted ascending (null first) over partitions of about per_part rows each, with `part`, the partition's number in that order. However many rows,
+    the driver sees one cut point for each partition. End `order` with a column of its own value in each row, and rows that are alike in the others can be
+    dealt to several partitions."""
+    by = [F.col(c).asc_nulls_first() for c in order]
+    parts = max(1, -(-rows.count() // per_part))
+    return rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
+
+
+def running_totals(rows: DataFrame, order: list[str], weight: str, per_part: int = 200_000) -> DataFrame:
+    """rows with `nth` (rows before) and `before` (sum of weight over them), in the order that in_order() gives: sums inside partitions of bounded size, and then
+    over one row for each partition."""
+    dealt = written(in_order(rows, order, per_part))
+    first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = dealt.groupBy("part").agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
+    per = per.select("part", F.coalesce(F.sum("w").over(first), F.lit(0)).alias("w0"), F.coalesce(F.sum("n").over(first), F.lit(0)).alias("n0"))
+    inside = Window.partitionBy("part").orderBy(*(F.col(c).asc_nulls_first() for c in order))
+    own = dealt.select("*", F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("w1"), F.row_number().over(inside).alias("n1"))
+    return own.join(per, "part").select(*rows.columns, (F.col("n0") + F.col("n1") - 1).alias("nth"), (F.col("w0") + F.col("w1")).alias("before"))

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bucket_of, order_cuts
+from .common import arrow_map, column, in_order, written
 
 WINDOW = 7
 #: A block size is chosen for at most so many chunks on average; a signature has at most MOST, the last of which takes in the rest of the text.
@@ -136,69 +136,94 @@ def likeness(pairs: list[tuple[Print, Print]]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint) of whole texts; null counts as empty ("2::")."""
+    """(id, fingerprint) of whole texts, a row for each row, repeated and null ids as well; a null text counts as empty ("2::"). Other columns aren't read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([str(Print(t or "")) for t in part.column(1).to_pylist()])], names=["id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([str(Print(t or "")) for t in part.column(1).to_pylist()], pa.string())], names=["id", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fingerprint string")
-
-
-def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_bucket: int) -> DataFrame:
-    """(bucket, guest, id, text): rows dealt to buckets of neighbouring ids, one shuffle. Each bucket also gets, as a guest at its end, the first row of
-    the next bucket (the last gets the first of all), so a task that reads a bucket in order sees every row's successor."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = order_cuts(rows, "id", rows_per_bucket)
-    rows = rows.select(bucket_of(F.col("id"), cuts).alias("bucket"), "id", "text")
-    heads = rows.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("x"), "id"))["id"].alias("head"), F.max(F.col("id").isNull()).alias("nulls"))
-    heads = {r["bucket"]: None if r["nulls"] else r["head"] for r in heads.collect()}  # one id for each bucket
-    order = sorted(heads)
-    follows = {b: order[i - 1] for i, b in enumerate(order)}
-    if not order:
-        return rows.select("bucket", F.lit(0).alias("guest"), "id", "text")
-    ids = [x for x in heads.values() if x is not None]
-    firsts = rows.where(F.col("id").isin(ids) | (F.col("id").isNull() if None in heads.values() else F.lit(False)))
-    firsts = firsts.groupBy("bucket", "id").agg(F.min("text").alias("text"))
-    at = F.create_map(*(F.lit(x) for kv in follows.items() for x in kv))
-    guests = firsts.select(at[F.col("bucket")].alias("bucket"), F.lit(1).alias("guest"), "id", "text")
-    return rows.select("bucket", F.lit(0).alias("guest"), "id", "text").unionAll(guests).repartition("bucket").sortWithinPartitions("bucket", "guest", "id", "text")
-
-
-def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 4000) -> DataFrame:
+    return arrow_map(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), run, f"id {kind}, fingerprint string")
+
+
+RESULT = ("n_chars bigint", "edited_sha256 string", "fingerprint string", "edited_fingerprint string", "near_edited double", "near_next double")
+
+
+class Edits:
+    """Result columns of rows and their successors, filled row by row."""
+
+    def __init__(self) -> None:
+        self.ids, self.n_chars, self.sha, self.own, self.edited, self.pairs = [], [], [], [], [], []
+
+    def add(self, i: object, text: str, own: Print, after: str, then: Print) -> None:
+        half = len(text) // 2
+        new = text[: len(text) - half] + after[:half]
+        p = Print(new)
+        self.ids.append(i)
+        self.n_chars.append(len(text))
+        self.sha.append(hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest())
+        self.own.append(str(own))
+        self.edited.append(str(p))
+        self.pairs += [(own, p), (own, then)]
+
+    def columns(self, kind: pa.DataType) -> list[pa.Array]:
+        near = likeness(self.pairs)
+        return [pa.array(self.ids, kind), pa.array(self.n_chars, pa.int64()), *(pa.array(x, pa.string()) for x in (self.sha, self.own, self.edited)), pa.array(near[::2]), pa.array(near[1::2])]
+
+
+def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_part: int = 4000) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document, in order of
-    id, text (null ids first; after the last comes the first; a lone row follows itself). Null texts count as empty. A task holds one row
-    and its successor, whatever the bucket's size.
+    id (null ids first), hash of the text (after the last comes the first; a lone row follows itself). Null texts count as empty. An empty table gives no
+    rows; other columns aren't read.
+
+    Rows are sorted over partitions in one shuffle, as many as they need, and rows that share an id can be in several. A task holds one row and its successor;
+    the last row of a partition is joined with the first of the next, one pair for each partition.
     """
+    rows = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    rows = in_order(rows.select("*", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("own")), ["id", "tie", "own"], rows_per_part)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Results of rows whose successor is in the partition; and the text of each partition's first row (place 1) and last (2)."""
+        held = kind = None  # part, id, text, print
+
+        def end(row: tuple, place: int) -> pa.RecordBatch:
+            cols = [pa.array([row[1]], kind), *(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([row[0]], pa.int32()), pa.array([place], pa.int32()), pa.array([row[2]], pa.string())], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # bucket, guest, id, text, print
         for b in batches:
+            kind = b.column(1).type
             for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                ids, n_chars, sha, own, edited, pairs = [], [], [], [], [], []
+                part, done, ends = b.slice(at, ROWS), Edits(), []
                 for row in zip(*(c.to_pylist() for c in part.columns)):
-                    now = (*row, Print(row[3]))
-                    if held is not None and held[0] == row[0] and not held[1]:
-                        text, half = held[3], len(held[3]) // 2
-                        new = text[: len(text) - half] + row[3][:half]
-                        p = Print(new)
-                        ids.append(held[2])
-                        n_chars.append(len(text))
-                        sha.append(hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest())
-                        own.append(str(held[4]))
-                        edited.append(str(p))
-                        pairs += [(held[4], p), (held[4], now[4])]
+                    now = (*row, Print(row[2]))
+                    if held is not None and held[0] == now[0]:
+                        done.add(held[1], held[2], held[3], now[2], now[3])
+                    else:
+                        ends += [end(x, k) for x, k in ((held, 2), (now, 1)) if x is not None]
                     held = now
-                near = likeness(pairs)
-                cols = [pa.array(ids, part.column(2).type), pa.array(n_chars, pa.int64()), *(pa.array(x, pa.string()) for x in (sha, own, edited)), pa.array(near[::2]), pa.array(near[1::2])]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                n = len(done.ids)
+                yield pa.RecordBatch.from_arrays([*done.columns(kind), pa.nulls(n, pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.string())], names=names)
+                yield from ends
+        if held is not None:
+            yield end(held, 2)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = Edits()
+            for i, text, after in zip(*(c.to_pylist() for c in b.columns)):
+                done.add(i, text, Print(text), after, Print(after))
+            yield pa.RecordBatch.from_arrays(done.columns(b.column(0).type), names=names[:7])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return arrow_map(with_next(docs, id_col, text_col, rows_per_bucket), run, schema)
+    schema = ", ".join((f"id {kind}", *RESULT))
+    names = ["id", *(c.split()[0] for c in RESULT), "part", "place", "edge"]
+    got = written(arrow_map(rows.select("part", "id", "text"), inside, f"{schema}, part int, place int, edge string"))
+    first, last = (got.where(F.col("place") == k).select("part", "id", F.col("edge").alias(f"text{k}")) for k in (1, 2))
+    by_part = Window.orderBy("part")  # one row for each partition, numbers only
+    follow = first.select("part", F.coalesce(F.lead("part").over(by_part), F.min("part").over(Window.partitionBy())).alias("then"))
+    pairs = last.join(follow, "part").join(first.select(F.col("part").alias("then"), "text1"), "then").select("id", "text2", "text1")
+    return got.where("place = 0").select(*names[:7]).unionAll(arrow_map(pairs, across, schema))

@@ -1,9 +1,10 @@
 """Best-fit packing with certified bin counts.
 
 Documents are tokenised, cut into pieces of at most one sequence, and the pieces' lengths are dealt to partitions of bounded size. Each
-partition packs by best fit decreasing and certifies its bin count with lower bounds from dual feasible functions. Where the count
-meets the bound it is optimal and stays. The other partitions put what lies in their unfilled bins into a common pool, which is dealt
-anew (an exchange of documents) and packed again; a round's result is taken only if it needs fewer bins.
+partition packs by best fit decreasing and certifies its bin count with lower bounds from dual feasible functions. The same bound of all pieces together, from
+their counts by length, certifies the whole: where all bins meet it, the packing is optimal and stays. Until then, partitions with gaps in
+their bins (a partition's own certificate tells only that it can do no better by itself) exchange documents: all their pieces are dealt anew to half as many
+partitions, or to fewer still, and packed again, for as long as that saves a bin. Partitions may grow by that to MOST_PER_PARTITION pieces.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import arrow_map, drop_written, ship, written
 
 #: Pieces that a partition packs at a time.
 PER_PARTITION = 200_000
+#: The same where partitions with gaps are put together.
+MOST_PER_PARTITION = 1_600_000
 #: What each document ends with.
 END_ID = 0
 
@@ -35,8 +38,8 @@ def tokenizer_paths() -> tuple[str, str]:
 
 @lru_cache(2)
 def encoder(ranks_path: str, json_path: str):
-    """text -> uint32 ids as the json file's tokenizer gives them (add_special_tokens=False). Texts that hold the text of a special token go
-    to that tokenizer itself; all others take the same vocabulary's faster rank encoder."""
+    """text -> uint32 ids as the json file's tokenizer gives them (add_special_tokens=False). Texts that hold the text of a special token, or runs of
+    white space too long for the rank encoder, go to that tokenizer itself; all others take the same vocabulary's faster rank encoder."""
     import base64
 
     import public_tokenizers
@@ -50,9 +53,12 @@ def encoder(ranks_path: str, json_path: str):
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return fast.encode_to_numpy(text, disallowed_special=())
+        if not any(s in text for s in special):
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its pattern gives up on runs of about a million spaces
+                pass
+        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
@@ -122,15 +128,16 @@ def best_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def lower_bound(lengths: np.ndarray, most: int) -> int:
-    """A number of bins below which no packing can go: the largest bound over two families of dual feasible functions.
+    return bound_of_counts(np.bincount(lengths, minlength=most + 1), most)
+
+
+def bound_of_counts(count: np.ndarray, most: int) -> int:
+    """For count[n] pieces of length n: a number of bins below which no packing can go: the largest bound over two families of dual feasible functions.
 
     The first raises pieces above most - a to a whole bin and drops those below a, for every a; the second rounds to multiples of
     1 / (k + 1) of a bin, for k up to 40. A dual feasible function maps any bin's pieces to a sum of at most one bin, so the sum over
     all pieces is a bound.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=most + 1)
     x = np.arange(most + 1)
     n_upto, s_upto = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(count * x)]  # index v: of pieces below v
     n_in = lambda a, b: n_upto[b + 1] - n_upto[a]
@@ -147,53 +154,62 @@ def lower_bound(lengths: np.ndarray, most: int) -> int:
     return best
 
 
-def _pack(items: DataFrame, parts: int, most: int) -> DataFrame:
-    """items(row, length) -> (row, length, part, bin, offset, free, bins, bound), packed in `parts` groups dealt by a hash of the row."""
+def _pack(items: DataFrame, parts: int, most: int, deal: int) -> DataFrame:
+    """items(row, length) -> (row, length, part, bin, offset, bins, bound, free), packed in `parts` groups dealt by a hash of the row and `deal`."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         lengths = group["length"].to_numpy()
         bins, offsets, fill = best_fit(lengths, most)
-        return pd.DataFrame({"row": group["row"], "length": lengths, "part": group["part"], "bin": bins, "offset": offsets, "free": most - fill[bins], "bins": len(fill), "bound": lower_bound(lengths, most)})
+        return pd.DataFrame({"row": group["row"], "length": lengths, "part": group["part"], "bin": bins, "offset": offsets, "bins": len(fill), "bound": lower_bound(lengths, most), "free": len(fill) * most - int(lengths.sum())})
 
     ship(items.sparkSession)
-    dealt = items.select("row", "length", F.pmod(F.xxhash64("row", F.lit(parts)), F.lit(parts)).alias("part"))
-    return dealt.groupBy("part").applyInPandas(run, "row bigint, length bigint, part bigint, bin bigint, offset bigint, free bigint, bins bigint, bound bigint")
+    dealt = items.select("row", "length", F.pmod(F.xxhash64("row", F.lit(deal)), F.lit(parts)).alias("part"))
+    return dealt.groupBy("part").applyInPandas(run, "row bigint, length bigint, part bigint, bin bigint, offset bigint, bins bigint, bound bigint, free bigint")
 
 
-def pack(items: DataFrame, most: int = 2048, rounds: int = 2, per_partition: int = PER_PARTITION) -> DataFrame:
-    """(row, sequence_id, offset) for items(row, length): rows must be unique, lengths 1 to `most`.
+def pack(items: DataFrame, most: int = 2048, rounds: int = 16, per_partition: int = PER_PARTITION) -> DataFrame:
+    """(row, sequence_id, offset) for items(row, length): rows must be unique and not null, lengths 1 to `most`; no rows give no rows.
 
-    After the first packing, partitions whose count is above their certificate pool the pieces of unfilled bins, at most `rounds` times.
+    After the first packing, and as long as the count is above the certificate of the whole, partitions with free room in their bins exchange their
+    pieces, at most `rounds` times and while it saves bins.
     """
     n = items.count()
     if not n:
         return items.select("row", F.col("row").alias("sequence_id"), F.col("length").alias("offset"))
-    now = written(_pack(items, -(-n // per_partition), most))
+    counts = np.zeros(most + 1, np.int64)
+    for r in items.groupBy("length").count().collect():  # at most `most` rows
+        counts[r[0]] = r[1]
+    goal, kept = bound_of_counts(counts, most), 0
+    now = written(_pack(items, -(-n // per_partition), most, 0))
     done: list[DataFrame] = []
-    name = lambda df, r: df.select("row", F.concat_ws(":", F.lit(r), "part", "bin").alias("_bin"), "offset")
-    for r in range(rounds + 1):
-        pool = now.where("bins > bound AND free > 0")
-        size, before = pool.agg(F.count("*"), F.countDistinct("part", "bin")).first() if r < rounds else (0, 0)
-        parts = now.select("part").distinct().count()
-        if not size or parts == 1 and r:
+    name = lambda df, r: df.select("row", (F.lit(r << 56) + F.col("part") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"), "offset")
+    fewer = 2
+    for r in range(1, rounds + 1):
+        per = now.groupBy("part").agg(F.count("*").alias("n"), F.max("bins").alias("bins"), F.max("free").alias("free"))  # one row for each partition
+        gap = F.col("free") > 0
+        parts, size, before, total = per.agg(F.count(F.when(gap, 1)), F.sum(F.when(gap, F.col("n"))), F.sum(F.when(gap, F.col("bins"))), F.sum("bins")).first()
+        if parts < 2 or kept + total <= goal:
             break
-        again = written(_pack(pool.select("row", "length"), max(1, -(-size // per_partition)) + 0, most))
-        after = again.select("part", "bin").distinct().count()
-        if after >= before:
+        fewest = -(-size // max(per_partition, MOST_PER_PARTITION))
+        deal = max(-(-parts // fewer), fewest)
+        again = written(_pack(now.where(gap).select("row", "length"), deal, most, r))
+        after = again.groupBy("part").agg(F.max("bins").alias("bins")).agg(F.sum("bins")).first()[0]
+        if after < before:
+            done.append(name(now.where(~gap), r))
+            now, kept, fewer = again, kept + total - before, 2
+        else:
             drop_written(again)
-            break
-        done.append(name(now.where("NOT (bins > bound AND free > 0)"), r))
-        now = again
-    done.append(name(now, rounds + 1))
+            if deal <= fewest:
+                break
+            fewer *= 2
+    done.append(name(now, 0))
     out = done[0]
     for df in done[1:]:
         out = out.union(df)
-    number = F.split("_bin", ":")
-    packed_id = number[0].cast("bigint") * F.lit(1 << 56) + number[1].cast("bigint") * F.lit(1 << 24) + number[2].cast("bigint")
-    return out.select("row", packed_id.alias("sequence_id"), "offset")
+    return out
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, keep_ids: bool = False, paths: tuple[str, str] | None = None, rounds: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, keep_ids: bool = False, paths: tuple[str, str] | None = None, rounds: int = 16) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids], sequence_id, offset): every piece of every document and its place.
 
     Null and empty texts are the end id alone. Repeated and null ids are packed as rows of their own. An empty table gives no rows.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .lines import DEDUP_SQL
 from .mixing import TAKEN_SQL
+from .sharding import SHARDS_SQL
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +88,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(_docs(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix(_docs(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_fingerprints, op4_substring_dedup, op5_quality, op6_embeddings, op7_packing, op8_mixing, op9_pii, op10_sharding)}
 
-ORACLES: dict[str, str] = {"op2_line_dedup": DEDUP_SQL, "op8_mixing": TAKEN_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": DEDUP_SQL, "op8_mixing": TAKEN_SQL, "op10_sharding": SHARDS_SQL}

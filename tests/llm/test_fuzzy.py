@@ -32,7 +32,7 @@ def test_cuts_depend_on_their_window_only():
 def test_against_plain_loop(spark):
     rng = random.Random(3)
     rows = [(i * 7 % 300 - 20, rng.choice([None, "", words(rng, 3), words(rng, 60), words(rng, 900)])) for i in range(120)]
-    got = {r.id: r for r in Z.compare_edits(spark.createDataFrame(rows, "doc_id bigint, text string"), rows_per_bucket=10).collect()}
+    got = {r.id: r for r in Z.compare_edits(spark.createDataFrame(rows, "doc_id bigint, text string"), rows_per_part=10).collect()}
     order = sorted((i, t or "") for i, t in rows)
     assert len(got) == len(rows)
     for k, (i, t) in enumerate(order):
@@ -45,6 +45,21 @@ def test_against_plain_loop(spark):
         assert [r.near_edited, r.near_next] == Z.likeness([(a, b), (a, c)]).tolist()
 
 
+def test_ids_that_many_rows_share(spark):
+    """A third of all rows, over several partitions: each row is followed by the next in order of id, hash of the text."""
+    rng = random.Random(6)
+    rows = [(9 if i % 3 == 0 else i, words(rng, 20) if i % 4 else "same") for i in range(150)] + [(None, "null")] * 40
+    got = Z.compare_edits(spark.createDataFrame(rows, "doc_id bigint, text string"), rows_per_part=8).collect()
+    signed = lambda t: (h := Z.xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        want.append((repr(i), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted((repr(r.id), r.edited_sha256) for r in got) == sorted(want)
+
+
 def test_edited_texts_are_nearer_than_strangers():
     rng = random.Random(4)
     near, far = [], []
