@@ -91,7 +91,7 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """(id, source, size, source_size, target, taken, first_slot, n_slots) for every document: words taken, repeats counted, the first slot that takes
-        some of it (null for none) and how many do."""
+        some of it (null for none) and how many do, counted anew for each repeat."""
         got = self.segments.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n"))
         out = self.rows.join(got, "row", "left").join(self.sources.select("src", "source", "source_size", "target"), "src")
         return out.select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_slot", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_slots"))

@@ -51,6 +51,41 @@ def test_recall_near_the_limit(spark):
     assert all(got[i] <= want[i][0] for i in got) and sum(got.values()) >= 0.97 * true > 100
 
 
+def test_two_levels_of_lists(spark):
+    """A list of sixteen members on average asks for a second level; recall stays."""
+    rows = data(1500, 3, noise=0.1)
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    sample = E.unit_rows(np.array([v for _, v in rows]))
+    index = E.fit_index(sample, len(rows), list_rows=16)
+    assert len(index.fine) > 1 and (index.home(sample) < len(index.coarse) * len(index.fine)).all()
+    got = {r.id: r.n_links for r in E.near_duplicates(df, list_rows=1).collect()}
+    true = sum(n for n, _, _ in want.values())
+    assert all(got[i] <= want[i][0] for i in got) and sum(got.values()) >= 0.95 * true > 100
+
+
+@pytest.mark.parametrize("dim", [8, 64, 128, 200])
+def test_look_ups_lose_no_link(spark, dim):
+    """All lists probed: what is left to lose is the look-ups' alone, at lengths where codes are coarse as well."""
+    rng = np.random.default_rng(dim)
+    base = rng.normal(size=(150, dim))
+    near = base[:100] + rng.normal(size=(100, dim)) * 0.32
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), probes=10_000).collect()
+    assert {r.id: (r.n_links, r.component_id, r.kept) for r in got} == brute(rows)
+
+
+def test_every_length_has_its_index(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (6, [1.0, 0.01, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [2.0, 0.0])]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert {r.id: (r.n_links, r.component_id) for r in got} == {5: (1, 5), 6: (1, 5), 1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
+
+
+def test_ids_that_are_text(spark):
+    got = E.near_duplicates(spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.001]), ("c", [0.0, 1.0]), (None, [0.0, 1.0])], "vec_id string, embedding array<float>")).collect()
+    assert {r.id: (r.n_links, r.component_id, r.kept) for r in got} == {"b": (1, "a", False), "a": (1, "a", True), "c": (0, "c", True), None: (0, None, True)}
+
+
 def test_edges(spark):
     t = "vec_id bigint, embedding array<float>, node int, v string"
     assert E.near_duplicates(spark.createDataFrame([], t)).count() == 0
