@@ -1,11 +1,13 @@
 """Personal data: patterns, and a skip-chain conditional random field that adds what the patterns miss.
 
-The patterns give the base spans. The field's tokens are the words that hold a digit or '@'. Its potentials are a token's features, chain edges
+The patterns give the base spans. The field's tokens are the words that hold a digit or '@', and the words of a spelled-out address ("x at y dot z"). Its potentials are a
+token's features (its own shape, the shape of the run of numbers it stands in, words that announce a kind), chain edges
 between neighbouring words, and skip edges between occurrences of the same or a similar token however far apart (equal letters and
-digits, or equal last seven digits). Loopy sum-product message passing brings the labels of one document into line, and a token outside
-all base spans becomes a span if its belief in a kind is high and a skip path leads from it to a token of a base span of that kind.
+digits, or equal last seven digits). Loopy sum-product message passing brings the labels of one document into line: a token that says little by itself takes the label of a
+clear one that it repeats. Tokens outside all base spans that the field labels become spans, neighbours of one label a single one.
 
-The weights are fitted by pseudo-likelihood to the base labels of a bounded sample of documents. Everything is linear in the text.
+The weights are fitted by pseudo-likelihood to a bounded sample of texts. Their labels are the base spans; half of these are first rewritten to forms that the
+patterns don't know (no plus sign, other separators, brackets, spelled-out signs), so the field learns such forms in the texts' own surroundings. Everything is linear in the text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, column
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -96,36 +98,90 @@ class Graph:
     skip: np.ndarray
 
 
+#: Signs spelled out, and words that announce a kind.
+AT_WORDS, DOT_WORDS = ("at", "(at)", "[at]", "{at}"), ("dot", "(dot)", "[dot]", "{dot}")
+ANNOUNCE = {
+    "email": ("email", "e-mail", "mail", "write", "contact"), "ip": ("ip", "host", "server", "address"),
+    "card": ("card", "visa", "credit", "mastercard", "pay"), "phone": ("call", "phone", "tel", "mobile", "fax", "ring"),
+}
+GROUPS = re.compile(r"[0-9]+")
+BRACKET_AT = re.compile(r"[\[({]at[\])}]", re.IGNORECASE)
 FEATURES = (
-    "always", "at", "at_then_dot", "plus_first", "paren", "letters", "digits_only", "dots_3", "octets", "hyphen", "equals_or_quote", "percent",
-    "digits_1_3", "digits_4_6", "digits_7_9", "digits_10_12", "digits_13_15", "digits_16_19", "digits_20_up", "luhn",
+    "always", "at", "at_then_dot", "plus_first", "paren", "letters", "digits_only", "dots_3", "octets", "hyphen", "equals_or_quote", "percent", "spelled", "bracket_at",
+    "digits_0", "digits_1_3", "digits_4_6", "digits_7_9", "digits_10_12", "digits_13_15", "digits_16_19", "digits_20_up", "luhn", "four_groups_to_255",
+    "run_alone", "run_digits_1_6", "run_digits_7_9", "run_digits_10_11", "run_digits_12_15", "run_digits_16_19", "run_digits_20_up", "run_card", "run_phone", "run_plus",
+    *(f"announced_{k}" for k in KINDS),
 )
+SPELLED = [FEATURES.index(n) for n in ("at", "spelled", "bracket_at")]
 
 
-def token_features(core: str) -> list[bool]:
+def four_groups_to_255(core: str) -> bool:
+    got = GROUPS.findall(core)
+    return len(got) == 4 and all(len(g) < 4 and int(g) < 256 for g in got)
+
+
+def run_features(words: list[str]) -> list[bool]:
+    """Of neighbouring words that hold digits and no letters, what their numbers have together."""
+    groups = [g for w in words for g in GROUPS.findall(w)]
+    digits = "".join(groups)
+    n, sizes = len(digits), [len(g) for g in groups]
+    return [
+        len(words) == 1, 0 < n < 7, 7 <= n < 10, 10 <= n < 12, 12 <= n < 16, 16 <= n < 20, n > 19, 16 <= n < 20 and len(groups) > 1 and luhn(digits),
+        10 <= n < 14 and sizes[-3:] == [3, 3, 4], words[0][:1] == "+",
+    ]
+
+
+def token_features(core: str, spelled: bool, run: list[str], before: str) -> list[bool]:
     digits = "".join(c for c in core if c in "0123456789")
-    n, dots = len(digits), core.split(".")
+    n, dots, before = len(digits), core.split("."), before.strip(EDGES).lower()
     return [
         True, "@" in core, "." in core.partition("@")[2], core[:1] == "+", "(" in core or ")" in core, any(c.isalpha() for c in core), core == digits, len(dots) == 4,
-        len(dots) == 4 and all(d.isascii() and d.isdigit() and len(d) < 4 and int(d) < 256 for d in dots), "-" in core, "=" in core or '"' in core, "%" in core,
-        0 < n < 4, 4 <= n < 7, 7 <= n < 10, 10 <= n < 13, 13 <= n < 16, 16 <= n < 20, n > 19, 16 <= n < 20 and luhn(digits),
+        len(dots) == 4 and all(d.isascii() and d.isdigit() and len(d) < 4 and int(d) < 256 for d in dots), "-" in core, "=" in core or '"' in core, "%" in core, spelled, BRACKET_AT.search(core) is not None,
+        not n, 0 < n < 4, 4 <= n < 7, 7 <= n < 10, 10 <= n < 13, 13 <= n < 16, 16 <= n < 20, n > 19, 16 <= n < 20 and luhn(digits), four_groups_to_255(core),
+        *(run_features(run) if run else [False] * 10), *(before in ANNOUNCE[k] for k in KINDS),
     ]
 
 
 def similar_keys(core: str) -> list[str]:
-    """What a token shares with the tokens it is like. Short tokens have no key."""
+    """What a token shares with the tokens it is like: its letters and digits (a short one, its very text), and its last seven digits."""
     plain = "".join(c for c in core.lower() if c.isalnum() or c == "@")
     digits = "".join(c for c in plain if c in "0123456789")
-    return ([f"w{plain}"] if len(plain) >= 6 else []) + ([f"d{digits[-7:]}"] if len(digits) >= 7 else [])
+    return [f"w{plain}" if len(plain) >= 6 else f"t{core}"] + ([f"d{digits[-7:]}"] if len(digits) >= 7 else [])
+
+
+def spelled_words(low: list[str]) -> set[int]:
+    """Places of the words of addresses spelled out: x at y dot z [dot z]..."""
+    out: set[int] = set()
+    i = 1
+    while i + 3 < len(low):
+        if low[i] in AT_WORDS and low[i + 2] in DOT_WORDS:
+            j = i + 2
+            while j + 1 < len(low) and low[j] in DOT_WORDS:
+                j += 2
+            out |= set(range(i - 1, j))
+            i = j
+        else:
+            i += 1
+    return out
 
 
 def graph_of(text: str, spans: list[Span]) -> Graph:
     starts, ends, feats, chain, skip, last = [], [], [], [], [], {}
-    words = [m.span() for m in TOKEN.finditer(text)] if DIGIT_OR_AT.search(text) else []
-    held = [DIGIT_OR_AT.search(text, a, b) is not None for a, b in words]
+    words = [m.span() for m in TOKEN.finditer(text)] if DIGIT_OR_AT.search(text) or BRACKET_AT.search(text) or re.search(r"\bdot\b", text, re.IGNORECASE) else []
+    low = [text[a:b].lower() if b - a < 8 else "" for a, b in words]
+    spelled = spelled_words([w.rstrip(",;:!?") for w in low])
+    held = [i in spelled or DIGIT_OR_AT.search(text, a, b) is not None or BRACKET_AT.search(text, a, b) is not None for i, (a, b) in enumerate(words)]
+    number = [h and i not in spelled and not any(c.isalpha() or c == "@" for c in text[a:b]) for i, (h, (a, b)) in enumerate(zip(held, words))]
+    run: list[str] = []
+    run_end = 0
     for i, (a, b) in enumerate(words):
         if not held[i]:
             continue
+        if number[i] and i >= run_end:
+            run_end = i + 1
+            while run_end < len(words) and number[run_end]:
+                run_end += 1
+            run = [text[x:y].rstrip(".,;:!?") for x, y in words[i:run_end]]
         word = text[a:b]
         a += len(word) - len(word.lstrip(EDGES))
         core = word.strip(EDGES) or word
@@ -138,7 +194,7 @@ def graph_of(text: str, spans: list[Span]) -> Graph:
             last[key] = n
         starts.append(a)
         ends.append(a + len(core))
-        feats.append(token_features(core))
+        feats.append(token_features(core, i in spelled, run if number[i] else [], low[i - 1] if i else ""))
     start, end = np.array(starts, np.int64), np.array(ends, np.int64)
     label = np.zeros(len(starts), np.int64)
     for kind, a, b in reversed(spans):
@@ -147,6 +203,40 @@ def graph_of(text: str, spans: list[Span]) -> Graph:
     return Graph(start, end, np.array(feats, bool).reshape(-1, len(FEATURES)), label, pairs(chain), pairs(skip))
 
 
+def other_form(kind: int, text: str, rng: np.random.Generator) -> str:
+    """The same personal data in a form that the patterns don't know."""
+    if kind == 0:
+        local, _, domain = text.partition("@")
+        at, dot = [(" at ", " dot "), ("[at]", "[dot]"), ("(at)", "."), (" [at] ", " [dot] "), (" AT ", " DOT ")][rng.integers(5)]
+        return local.replace(".", dot if dot.strip() != dot else ".") + at + domain.replace(".", dot)
+    if kind == 1:
+        return text.replace(".", ["-", "[.]", "(.)", ",", "_"][rng.integers(5)])
+    groups = GROUPS.findall(text)
+    if kind == 2:
+        digits = "".join(groups)
+        return [".", "/", "  ", " - ", "_"][rng.integers(5)].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    groups = groups[1:] if len(groups) > 2 and rng.random() < 0.7 else groups
+    if len(groups) == 3 and rng.random() < 0.4:
+        return f"({groups[0]}) {groups[1]}-{groups[2]}"
+    return [" ", "-", ".", "/"][rng.integers(4)].join(groups)
+
+
+def disturbed(text: str, spans: list[Span], share: float = 0.5) -> tuple[str, list[Span]]:
+    """The text with about `share` of its spans in other forms, and where all are then. Alike for equal texts."""
+    rng = np.random.default_rng([len(text), *text.encode("utf-8", "surrogatepass")[:64]])
+    out, new, at, size = [], [], 0, 0
+    for kind, a, b in sorted(spans, key=lambda s: s[1:]):
+        if a < at:
+            continue
+        own = other_form(kind, text[a:b], rng) if rng.random() < share else text[a:b]
+        out += [text[at:a], own]
+        size += a - at
+        new.append((kind, size, size + len(own)))
+        size += len(own)
+        at = b
+    return "".join((*out, text[at:])), sorted(new)
+
+
 def joined(graphs: list[Graph]) -> Graph:
     at = np.cumsum([0] + [len(g.start) for g in graphs])
     cat = lambda name: np.concatenate([getattr(g, name) for g in graphs])
@@ -168,11 +258,10 @@ SKIP_PRIOR = 3.0
 
 
 def possible(features: np.ndarray) -> np.ndarray:
-    """0 where a token may have a label, else a large negative number: an email holds '@', the other kinds a digit."""
+    """0 where a token may have a label, else a large negative number: an email holds '@' or stands for it, the other kinds hold a digit."""
     out = np.zeros((len(features), len(LABELS)))
-    at, digit = features[:, FEATURES.index("at")], features[:, FEATURES.index("digits_1_3") : FEATURES.index("luhn")].any(axis=1)
-    out[~at, 1] = -50
-    out[~digit, 2:] = -50
+    out[~features[:, SPELLED].any(axis=1), 1] = -50
+    out[features[:, FEATURES.index("digits_0")], 2:] = -50
     return out
 
 
@@ -239,38 +328,36 @@ def beliefs(g: Graph, f: Field, rounds: int = 12, damping: float = 0.3) -> np.nd
     return p / p.sum(axis=1, keepdims=True) if n else p
 
 
-def reached(g: Graph) -> np.ndarray:
-    """For each token and kind: whether a skip path leads to a token of a base span of that kind."""
-    out = np.eye(len(LABELS), dtype=bool)[g.label]
-    while len(g.skip):
-        new = out.copy()
-        np.logical_or.at(new, g.skip[:, 1], out[g.skip[:, 0]])  # runs forwards and backwards along a key's occurrences
-        np.logical_or.at(new, g.skip[:, 0], new[g.skip[:, 1]])
-        if (new == out).all():
-            break
-        out = new
-    return out
-
-
 def added_spans(g: Graph, f: Field, sure: float) -> tuple[np.ndarray, np.ndarray]:
     """(token, kind) of tokens outside base spans that the field labels."""
     b = beliefs(g, f)
     best = b.argmax(axis=1) if len(b) else np.zeros(0, np.int64)
-    rows = np.arange(len(b))
-    take = (g.label == 0) & (best > 0) & (b[rows, best] >= sure) & reached(g)[rows, best] if len(b) else np.zeros(0, bool)
+    take = (g.label == 0) & (best > 0) & (b[np.arange(len(b)), best] >= sure) if len(b) else np.zeros(0, bool)
     return np.flatnonzero(take), best[take] - 1
 
 
+#: What may stand between two tokens of one added span.
+BETWEEN = re.compile(r"[\x20\x09(),./_-]{1,3}")
+
+
 def find_all(texts: list[str | None], f: Field, sure: float = 0.9) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, added spans) of each text."""
     base = [base_spans(t or "") for t in texts]
     added: list[list[Span]] = [[] for _ in texts]
-    own = [i for i, s in enumerate(base) if s]  # a skip path needs a base span to lead to
-    if own:
-        graphs = [graph_of(texts[i], base[i]) for i in own]
-        g, who = joined(graphs), np.repeat(own, [len(x.start) for x in graphs])
+    graphs = [graph_of(t or "", s) for t, s in zip(texts, base)]
+    who = np.repeat(np.arange(len(texts)), [len(g.start) for g in graphs])
+    if len(who):
+        g = joined(graphs)
+        before = -2
         for t, kind in zip(*added_spans(g, f, sure)):
-            added[who[t]].append((int(kind), int(g.start[t]), int(g.end[t])))
+            spans, a, b = added[who[t]], int(g.start[t]), int(g.end[t])
+            text = texts[who[t]]
+            if before == t - 1 and spans and spans[-1][0] == kind and BETWEEN.fullmatch(text, spans[-1][2], a):
+                a = spans.pop()[1]
+            elif a and text[a - 1] == "(" and text[b : b + 1] == ")":
+                a, b = a - 1, b + 1
+            spans.append((int(kind), a, b))
+            before = t
     return list(zip(base, (sorted(a) for a in added)))
 
 
@@ -278,24 +365,23 @@ def spans_text(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 6000, doc_tokens: int = 200) -> Field:
-    """The field fitted to at most sample_docs documents (those with the smallest hash of their id) and the first doc_tokens tokens of each.
-    These two bounds hold for fitting only; finding reads every whole text."""
-    ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(sample_docs).distinct()
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 6000) -> Field:
+    """The field fitted to at most sample_docs texts (those of the rows with the smallest hash of id and text, each once, whole). The bound holds for fitting only;
+    finding reads every text. Null texts and tables without personal data give a field that adds nothing."""
+    rows = docs.select(column(text_col).alias("text"), F.xxhash64(column(id_col), column(text_col)).alias("h")).where("text IS NOT NULL")
+    first = rows.select("h").distinct().orderBy("h").limit(sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g = graph_of(t, base_spans(t)) if t else None
-                if g is not None and len(g.start):
-                    n = min(len(g.start), doc_tokens)
-                    near = lambda e: e[(e < n).all(axis=1)].ravel().tolist()
-                    out.append((str(i), np.packbits(g.features[:n], axis=1).tobytes(), g.label[:n].tolist(), near(g.chain), near(g.skip)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 3))], names=["id", "f", "label", "chain", "skip"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
-    rows = arrow_map(rows, run, "id string, f binary, label array<bigint>, chain array<bigint>, skip array<bigint>").collect()
+            for i, t in zip(b.column(1).to_pylist(), b.column(0).to_pylist()):
+                g = graph_of(*disturbed(t, base_spans(t)))
+                if len(g.start):
+                    out.append((i, np.packbits(g.features, axis=1).tobytes(), g.label.tolist(), g.chain.ravel().tolist(), g.skip.ravel().tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3))], names=["h", "f", "label", "chain", "skip"])
+
+    rows = rows.join(F.broadcast(first), "h").select("text", "h").dropDuplicates(["h"])  # sample_docs rows at most
+    rows = arrow_map(rows, run, "h bigint, f binary, label array<bigint>, chain array<bigint>, skip array<bigint>").collect()
     width = -(-len(FEATURES) // 8)
     graphs = []
     for r in sorted(rows):
@@ -307,7 +393,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 def find_personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.9) -> DataFrame:
     """(id, base, spans): arrays of (kind, start, end), in code points, end exclusive, by kind then start; spans are the base spans and the added ones.
 
-    A null text counts as empty and has none. Repeated and null ids are rows of their own.
+    A null text counts as empty and has none. Repeated and null ids are rows of their own. An empty table gives no rows; other columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,4 +406,4 @@ def find_personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([rows(x) for x, _ in found], kind), pa.array([rows(x + y) for x, y in found], kind)], names=["id", "base", "spans"])
 
     id_kind, span = docs.schema[id_col].dataType.simpleString(), "array<struct<kind:string,start:bigint,end:bigint>>"
-    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {id_kind}, base {span}, spans {span}")
+    return arrow_map(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), run, f"id {id_kind}, base {span}, spans {span}")

@@ -64,7 +64,7 @@ def test_beliefs_are_exact_on_a_chain_with_one_skip_edge():
     rng = np.random.default_rng(2)
     f = P.Field(rng.normal(size=(len(P.FEATURES), 5)), rng.normal(size=(5, 5)), rng.uniform(0, 2, 5))
     feats = rng.random((4, len(P.FEATURES))) < 0.5
-    feats[:, 1], feats[:, 12] = True, True
+    feats[:, P.FEATURES.index("at")], feats[:, P.FEATURES.index("digits_0")] = True, False
     g = P.Graph(np.arange(4), np.arange(4) + 1, feats, np.zeros(4, int), np.array([[0, 1], [1, 2]]), np.array([[0, 3]]))
     u, want = feats @ f.unary, np.zeros((4, 5))
     for y in itertools.product(range(5), repeat=4):
@@ -79,21 +79,49 @@ def test_repeated_tokens_are_added_and_clean_ones_left(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     field = P.train(df)
     held = [
-        ("call +1 (744) 555-2801 now or later the of anon 555-2801 again", 1),
-        ("the 12 of 1999 and 4.0. year 77,000 of 12", 0),
-        ("call +1 (744) 555-2801 once", 0),
-        ("write rm.16@mail.example.com or RM.16@MAIL.EXAMPLE.COM.", 0),
+        ("call +1 (744) 555-2801 now or later the of anon 744-555-2801 again", ["744-555-2801"]),
+        ("the 12 of 1999 and 4.0. year 77,000 of 12", []),
+        ("call +1 (744) 555-2801 once", []),
+        ("write rm.16@mail.example.com or RM.16@MAIL.EXAMPLE.COM.", []),
+        ("no base span here: (744) 555-2801, rm.16 at mail dot example dot com, 4111.1111.1111.1111 and 10[.]7[.]200[.]9 of", ["(744) 555-2801", "rm.16 at mail dot example dot com", "4111.1111.1111.1111", "10[.]7[.]200[.]9"]),
+        ("in 2024 at noon the 3 of 14 or 1,250,000 year 12 and the dot at 7", []),
     ]
     got = P.find_all([t for t, _ in held], field)
-    assert [len(a) for _, a in got] == [n for _, n in held]
-    t = held[0][0]
-    assert [t[a:b] for _, a, b in got[0][1]] == ["555-2801"] and got[0][1][0][0] == 3
+    assert [[t[a:b] for _, a, b in sorted(x, key=lambda s: s[1])] for (t, _), (_, x) in zip(held, got)] == [x for _, x in held]
     out = {r.id: r for r in P.find_personal_data(df, field).collect()}
     for i, text in rows:
         assert [(P.KINDS.index(s.kind), s.start, s.end) for s in out[i].base] == plain(text)
         assert {tuple(s) for s in out[i].base} <= {tuple(s) for s in out[i].spans}
 
 
+def test_the_field_finds_other_forms_and_leaves_clean_documents(spark):
+    """Held-out documents, their personal data in forms that the patterns don't know: recall with and without the field, and what it adds to clean ones."""
+    field = P.train(spark.createDataFrame(sample(random.Random(5), 600), "doc_id bigint, text string"))
+    n = base = caught = clean = wrong = 0
+    for _, text in sample(random.Random(6), 300):
+        spans = P.base_spans(text)
+        new, where = P.disturbed(text, spans, 1.0)
+        ((b, a),) = P.find_all([new], field)
+        if not spans:
+            clean, wrong = clean + 1, wrong + bool(a)
+        for k, s, e in where:
+            over = lambda found: any(x == k and s < y and z < e for x, z, y in found)  # noqa: E731, B023
+            n, base, caught = n + 1, base + over(b), caught + over(b + a)
+    assert n > 200 and clean > 60 and base < 0.1 * n and caught > 0.95 * n and wrong <= 0.02 * clean
+
+
+def test_skip_edges_bring_labels_into_line():
+    """A token without evidence of its own takes the label of the one it repeats, and none where the potentials are off."""
+    feats = np.zeros((3, len(P.FEATURES)), bool)
+    feats[0, P.FEATURES.index("plus_first")] = True
+    unary = np.zeros((len(P.FEATURES), 5))
+    unary[P.FEATURES.index("plus_first"), 4] = 8.0
+    g = P.Graph(np.arange(3), np.arange(3) + 1, feats, np.zeros(3, int), np.zeros((0, 2), int), np.array([[0, 1], [1, 2]]))
+    feats[:, P.FEATURES.index("digits_7_9")] = True
+    on, off = (P.beliefs(g, P.Field(unary, np.zeros((5, 5)), np.full(5, s)), rounds=40)[:, 4] for s in (6.0, 0.0))
+    assert (on > 0.9).all() and off[0] > 0.9 and (off[1:] < 0.3).all()
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, base int")
     field = P.train(none)
