@@ -7,7 +7,8 @@ digits, or equal last seven digits). Loopy sum-product message passing brings th
 clear one that it repeats. Tokens outside all base spans that the field labels become spans, neighbours of one label a single one.
 
 The weights are fitted by pseudo-likelihood to a bounded sample of texts. Their labels are the base spans; half of these are first rewritten to forms that the
-patterns don't know (no plus sign, other separators, brackets, spelled-out signs), so the field learns such forms in the texts' own surroundings. Everything is linear in the text.
+patterns don't know (no plus sign, other separators, brackets, spelled-out signs), and plain numbers (amounts, dates, versions) are put among the words, so the field learns to
+tell such forms apart in the texts' own surroundings. Finding is linear in the text.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ BRACKET_AT = re.compile(r"[\[({]at[\])}]", re.IGNORECASE)
 FEATURES = (
     "always", "at", "at_then_dot", "plus_first", "paren", "letters", "digits_only", "dots_3", "octets", "hyphen", "equals_or_quote", "percent", "spelled", "bracket_at",
     "digits_0", "digits_1_3", "digits_4_6", "digits_7_9", "digits_10_12", "digits_13_15", "digits_16_19", "digits_20_up", "luhn", "four_groups_to_255",
-    "run_alone", "run_digits_1_6", "run_digits_7_9", "run_digits_10_11", "run_digits_12_15", "run_digits_16_19", "run_digits_20_up", "run_card", "run_phone", "run_plus",
+    "run_alone", "run_card", "run_phone",
     *(f"announced_{k}" for k in KINDS),
 )
 SPELLED = [FEATURES.index(n) for n in ("at", "spelled", "bracket_at")]
@@ -120,25 +121,34 @@ def four_groups_to_255(core: str) -> bool:
     return len(got) == 4 and all(len(g) < 4 and int(g) < 256 for g in got)
 
 
-def run_features(words: list[str]) -> list[bool]:
-    """Of neighbouring words that hold digits and no letters, what their numbers have together."""
-    groups = [g for w in words for g in GROUPS.findall(w)]
-    digits = "".join(groups)
-    n, sizes = len(digits), [len(g) for g in groups]
-    return [
-        len(words) == 1, 0 < n < 7, 7 <= n < 10, 10 <= n < 12, 12 <= n < 16, 16 <= n < 20, n > 19, 16 <= n < 20 and len(groups) > 1 and luhn(digits),
-        10 <= n < 14 and sizes[-3:] == [3, 3, 4], words[0][:1] == "+",
-    ]
-
-
-def token_features(core: str, spelled: bool, run: list[str], before: str) -> list[bool]:
+def run_features(words: list[str]) -> list[list[bool]]:
+    """For each of neighbouring words that hold digits and no letters: whether it is alone, part of four groups of four digits that pass Luhn, or of
+    groups of three, three and four digits."""
+    groups, owner = [], []
+    for i, w in enumerate(words):
+        got = GROUPS.findall(w)
+        groups += got
+        owner += [i] * len(got)
+    sizes = [len(g) for g in groups]
+    card, phone = [False] * len(words), [False] * len(words)
+    for i in range(len(groups) - 2):
+        if sizes[i : i + 3] == [3, 3, 4]:
+            for j in range(owner[i], owner[i + 2] + 1):
+                phone[j] = True
+        if sizes[i : i + 4] == [4, 4, 4, 4] and luhn("".join(groups[i : i + 4])):
+            for j in range(owner[i], owner[i + 3] + 1):
+                card[j] = True
+    return [[len(words) == 1, card[i], phone[i]] for i in range(len(words))]
+
+
+def token_features(core: str, spelled: bool, run: list[bool], before: str) -> list[bool]:
     digits = "".join(c for c in core if c in "0123456789")
     n, dots, before = len(digits), core.split("."), before.strip(EDGES).lower()
     return [
         True, "@" in core, "." in core.partition("@")[2], core[:1] == "+", "(" in core or ")" in core, any(c.isalpha() for c in core), core == digits, len(dots) == 4,
         len(dots) == 4 and all(d.isascii() and d.isdigit() and len(d) < 4 and int(d) < 256 for d in dots), "-" in core, "=" in core or '"' in core, "%" in core, spelled, BRACKET_AT.search(core) is not None,
         not n, 0 < n < 4, 4 <= n < 7, 7 <= n < 10, 10 <= n < 13, 13 <= n < 16, 16 <= n < 20, n > 19, 16 <= n < 20 and luhn(digits), four_groups_to_255(core),
-        *(run_features(run) if run else [False] * 10), *(before in ANNOUNCE[k] for k in KINDS),
+        *(run or [False] * 3), *(before in ANNOUNCE[k] for k in KINDS),
     ]
 
 
@@ -172,16 +182,16 @@ def graph_of(text: str, spans: list[Span]) -> Graph:
     spelled = spelled_words([w.rstrip(",;:!?") for w in low])
     held = [i in spelled or DIGIT_OR_AT.search(text, a, b) is not None or BRACKET_AT.search(text, a, b) is not None for i, (a, b) in enumerate(words)]
     number = [h and i not in spelled and not any(c.isalpha() or c == "@" for c in text[a:b]) for i, (h, (a, b)) in enumerate(zip(held, words))]
-    run: list[str] = []
-    run_end = 0
+    run: list[list[bool]] = []
+    first = run_end = 0
     for i, (a, b) in enumerate(words):
         if not held[i]:
             continue
         if number[i] and i >= run_end:
-            run_end = i + 1
+            first, run_end = i, i + 1
             while run_end < len(words) and number[run_end]:
                 run_end += 1
-            run = [text[x:y].rstrip(".,;:!?") for x, y in words[i:run_end]]
+            run = run_features([text[x:y].rstrip(".,;:!?") for x, y in words[i:run_end]])
         word = text[a:b]
         a += len(word) - len(word.lstrip(EDGES))
         core = word.strip(EDGES) or word
@@ -194,7 +204,7 @@ def graph_of(text: str, spans: list[Span]) -> Graph:
             last[key] = n
         starts.append(a)
         ends.append(a + len(core))
-        feats.append(token_features(core, i in spelled, run if number[i] else [], low[i - 1] if i else ""))
+        feats.append(token_features(core, i in spelled, run[i - first] if number[i] else [], low[i - 1] if i else ""))
     start, end = np.array(starts, np.int64), np.array(ends, np.int64)
     label = np.zeros(len(starts), np.int64)
     for kind, a, b in reversed(spans):
@@ -214,24 +224,39 @@ def other_form(kind: int, text: str, rng: np.random.Generator) -> str:
     groups = GROUPS.findall(text)
     if kind == 2:
         digits = "".join(groups)
-        return [".", "/", "  ", " - ", "_"][rng.integers(5)].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        return [".", "/", "  ", "_", "--"][rng.integers(5)].join(digits[i : i + 4] for i in range(0, len(digits), 4))
     groups = groups[1:] if len(groups) > 2 and rng.random() < 0.7 else groups
     if len(groups) == 3 and rng.random() < 0.4:
         return f"({groups[0]}) {groups[1]}-{groups[2]}"
     return [" ", "-", ".", "/"][rng.integers(4)].join(groups)
 
 
-def disturbed(text: str, spans: list[Span], share: float = 0.5) -> tuple[str, list[Span]]:
-    """The text with about `share` of its spans in other forms, and where all are then. Alike for equal texts."""
+def plain_number(rng: np.random.Generator) -> str:
+    """A number that is nobody's: an amount, date, time, version, range or serial number."""
+    a, b, c, year = (int(x) for x in (rng.integers(1, 13), rng.integers(1, 29), rng.integers(0, 60), rng.integers(1900, 2100)))
+    return [
+        f"{int(10 ** rng.uniform(0, 10)):,}", f"{year}-{a:02}-{b:02}", f"{b}.{a}.{year}", f"{a}/{b}/{year}", f"{a}:{c:02}:{b:02}", f"{a}:{c:02}", f"{a}.{b}.{c}", f"{a}.{c}", f"{b}%", f"{year}",
+        f"{year}-{year + b}", f"{a} {b} {c}", f"{c}-{c + a}", str(int(10 ** rng.uniform(4, 15))), f"{year}/{c}", f"({b})",
+    ][rng.integers(16)]
+
+
+def disturbed(text: str, spans: list[Span], share: float = 0.5, numbers: float = 1.0) -> tuple[str, list[Span]]:
+    """The text with about `share` of its spans in other forms and `numbers` plain numbers put between its words, and where the spans are then. Alike for equal texts."""
     rng = np.random.default_rng([len(text), *text.encode("utf-8", "surrogatepass")[:64]])
+    edits = [(a, b, kind) for kind, a, b in spans] + [(i, i, -1) for i in rng.integers(0, len(text) + 1, rng.poisson(numbers)).tolist()]
     out, new, at, size = [], [], 0, 0
-    for kind, a, b in sorted(spans, key=lambda s: s[1:]):
+    for a, b, kind in sorted(edits):
+        if kind < 0:
+            a = b = text.find(" ", max(a, at))
         if a < at:
             continue
-        own = other_form(kind, text[a:b], rng) if rng.random() < share else text[a:b]
+        own = f" {plain_number(rng)}" if kind < 0 else other_form(kind, text[a:b], rng) if rng.random() < share else text[a:b]
+        if kind < 0 and any(x <= a < y for x, y, k in edits if k >= 0):
+            continue
         out += [text[at:a], own]
         size += a - at
-        new.append((kind, size, size + len(own)))
+        if kind >= 0:
+            new.append((kind, size, size + len(own)))
         size += len(own)
         at = b
     return "".join((*out, text[at:])), sorted(new)
@@ -340,7 +365,7 @@ def added_spans(g: Graph, f: Field, sure: float) -> tuple[np.ndarray, np.ndarray
 BETWEEN = re.compile(r"[\x20\x09(),./_-]{1,3}")
 
 
-def find_all(texts: list[str | None], f: Field, sure: float = 0.9) -> list[tuple[list[Span], list[Span]]]:
+def find_all(texts: list[str | None], f: Field, sure: float = 0.75) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, added spans) of each text."""
     base = [base_spans(t or "") for t in texts]
     added: list[list[Span]] = [[] for _ in texts]
@@ -390,7 +415,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return fit(joined(graphs or [graph_of("", [])]))
 
 
-def find_personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.9) -> DataFrame:
+def find_personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.75) -> DataFrame:
     """(id, base, spans): arrays of (kind, start, end), in code points, end exclusive, by kind then start; spans are the base spans and the added ones.
 
     A null text counts as empty and has none. Repeated and null ids are rows of their own. An empty table gives no rows; other columns aren't read.

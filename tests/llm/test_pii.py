@@ -50,7 +50,7 @@ def test_patterns_stay_linear():
 def sample(rng, n=300):
     out = []
     for i in range(n):
-        w = [rng.choice(["the", "of", "anon", "year", "12", "4.0.", "1999"]) for _ in range(40)]
+        w = [rng.choice(["the", "of", "anon", "year", "and", "that", "is", "12", "4.0.", "1999"]) for _ in range(40)]
         for _ in range(rng.randint(0, 2)):
             w.insert(rng.randrange(len(w)), rng.choice([f"rm.{rng.randint(10, 99)}@mail.example.com", f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", f"{rng.randint(1, 255)}.7.{rng.randint(0, 255)}.9", "4111111111111111"]))
         out.append((i, " ".join(w)))
@@ -75,7 +75,7 @@ def test_beliefs_are_exact_on_a_chain_with_one_skip_edge():
 
 
 def test_repeated_tokens_are_added_and_clean_ones_left(spark):
-    rows = sample(random.Random(3))
+    rows = sample(random.Random(3), 900)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     field = P.train(df)
     held = [
@@ -83,7 +83,7 @@ def test_repeated_tokens_are_added_and_clean_ones_left(spark):
         ("the 12 of 1999 and 4.0. year 77,000 of 12", []),
         ("call +1 (744) 555-2801 once", []),
         ("write rm.16@mail.example.com or RM.16@MAIL.EXAMPLE.COM.", []),
-        ("no base span here: (744) 555-2801, rm.16 at mail dot example dot com, 4111.1111.1111.1111 and 10[.]7[.]200[.]9 of", ["(744) 555-2801", "rm.16 at mail dot example dot com", "4111.1111.1111.1111", "10[.]7[.]200[.]9"]),
+        ("no base span here: (744) 555-2801, or rm.16 at mail dot example dot com, and 4111.1111.1111.1111 and 10[.]7[.]200[.]9 of", ["(744) 555-2801", "rm.16 at mail dot example dot com", "4111.1111.1111.1111", "10[.]7[.]200[.]9"]),
         ("in 2024 at noon the 3 of 14 or 1,250,000 year 12 and the dot at 7", []),
     ]
     got = P.find_all([t for t, _ in held], field)
@@ -100,9 +100,9 @@ def test_the_field_finds_other_forms_and_leaves_clean_documents(spark):
     n = base = caught = clean = wrong = 0
     for _, text in sample(random.Random(6), 300):
         spans = P.base_spans(text)
-        new, where = P.disturbed(text, spans, 1.0)
+        new, where = P.disturbed(text, spans, 1.0, 0.0)
         ((b, a),) = P.find_all([new], field)
-        if not spans:
+        if not re.search(r"@|\+1|4111|\.7\.", text):  # the patterns also miss some, as where a card's digits run on into the next number
             clean, wrong = clean + 1, wrong + bool(a)
         for k, s, e in where:
             over = lambda found: any(x == k and s < y and z < e for x, z, y in found)  # noqa: E731, B023
