@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_written, ship, written
+from .common import arrow_map, column, drop_written, ship, written
 
 #: Pieces that a partition packs at a time.
 PER_PARTITION = 200_000
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
-    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
+    return arrow_map(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), run, schema)
 
 
 def best_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,8 +7,8 @@ shingles of lower-cased words (the whole, if it has fewer words). Bands of MinHa
 verified by exact Jaccard similarity, and components of the verified links, with equal paragraphs, are the classes. All copies of a
 class but the first (by document id, then place) are removals; a passage counts from `min_words` words of such paragraphs in a row.
 
-A piece's bands are all pairs of the least values of one hash, as many as prefix filtering asks for: two sets that are similar enough share two of
-them for certain. A whole line's bands are of values of many hashes, by `recall`. Lines and pieces are separate classes.
+A piece's bands are the least values of one hash, as many as prefix filtering asks for: two sets that are similar enough share one of
+them for certain. A whole line's bands are of pairs of values of many hashes, by `recall`. Lines and pieces are separate classes.
 
 Equal paragraphs are one vertex. Buckets are cut into blocks of bounded size and give spanning forests, not pairs.
 """
@@ -23,14 +23,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD, arrow_map, written
+from .common import WORD, arrow_map, column, packed, unpacked, written
 from .components import connected_components
 
 #: Words of a paragraph cut out of a longer line: at least, at most, and one cut in so many words on average.
 LEAST, MOST, CUT_EVERY = 6, 32, 8
 SHINGLE = 5
-#: Values in a band. Two are enough to keep apart paragraphs that share one stock phrase.
+#: Values in a band of a whole line.
 BAND_ROWS = 2
 #: Paragraphs in a block of a bucket.
 BLOCK = 1024
@@ -125,7 +126,7 @@ class Cut:
         short = np.flatnonzero(size < SHINGLE)
         self.shingles[self.start[short]] = self.identity[short]
 
-    def pair_keys(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def prefix_keys(self, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Keys of pieces, and each one's piece, in order: pieces with Jaccard similarity >= least, if they differ, have a key in common."""
         at = np.flatnonzero(self.valid)
         owner = np.searchsorted(self.start, at, "right") - 1
@@ -136,16 +137,9 @@ class Cut:
         v, owner = v[new], owner[new]
         size = np.bincount(owner, minlength=len(self.start))
         need = np.ceil(least * size - 1e-9).astype(np.int64)  # shared shingles, at least
-        depth = np.where(size >= least * (size + 1) - 1e-9, np.minimum(size, size - need + 2), 0)  # smaller sets are similar to equal ones only
-        rank = np.arange(len(v)) - np.r_[0, np.cumsum(size)][owner]
-        keys, of = [v[:0]], [owner[:0]]
-        for gap in range(int(depth.max(initial=0))):
-            i = np.flatnonzero((rank + gap < depth[owner]) & ((gap > 0) | (need[owner] < 2)))
-            keys.append(mixed(v[i] * _MULT + v[i + gap]))
-            of.append(owner[i])
-        of, keys = np.concatenate(of), np.concatenate(keys)
-        order = np.argsort(of, kind="stable")
-        return keys[order], of[order]
+        depth = np.where(size >= least * (size + 1) - 1e-9, size - need + 1, 0)  # smaller sets are similar to equal ones only
+        first = np.arange(len(v)) - np.r_[0, np.cumsum(size)][owner] < depth[owner]
+        return v[first], owner[first]
 
     def band_keys(self, bands: int) -> np.ndarray:
         """A key for each whole line and band."""
@@ -170,7 +164,7 @@ class Cut:
 
     def rows(self, least: float, bands: int) -> tuple[np.ndarray, ...]:
         """Columns line, first word, words, identity, keys, number of keys: pieces, then whole lines."""
-        keys, of = self.pair_keys(least)
+        keys, of = self.prefix_keys(least)
         lines = self.band_keys(bands)
         n = np.r_[np.bincount(of, minlength=len(self.start)), np.full(len(self.long), bands)]
         words = np.r_[self.end - self.start, self.long_end - self.long_start]
@@ -196,7 +190,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, least: float, bands:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc", "para", "line", "first_word", "words", "h", "whole", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.where(column(id_col).isNotNull()).select(column(id_col).alias("id"), column(text_col).alias("text"))
     return arrow_map(rows, run, f"doc {kind}, para int, line int, first_word int, words int, h bigint, whole boolean, keys array<bigint>")
 
 
@@ -206,20 +200,29 @@ def _semi(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 
 def near_links(flat: np.ndarray, at: np.ndarray, h: np.ndarray, least: float) -> tuple[list[int], list[int]]:
-    """A spanning forest of the pairs of sets flat[at[i]:at[i+1]] with Jaccard similarity >= least, breadth first."""
+    """A spanning forest of the pairs of sets flat[at[i]:at[i+1]] with Jaccard similarity >= least, breadth first. Where a set's values stand in others is looked up by
+    value, so what sets don't share costs nothing."""
     size = np.diff(at)
-    owner = np.repeat(np.arange(len(size)), size)
-    left = np.ones(len(size), bool)
+    n = len(size)
+    owner = np.repeat(np.arange(n), size)
+    _, value, times = np.unique(flat, return_inverse=True, return_counts=True)
+    by_value = owner[np.argsort(value, kind="stable")]
+    begin = np.r_[0, np.cumsum(times)]
+    left = np.ones(n, bool)
     src, dst = [], []
-    for seed in range(len(size)):
+    for seed in range(n):
         if not left[seed]:
             continue
         left[seed] = False
         queue = [seed]
-        while queue and left.any():
+        while queue:
             i = queue.pop()
-            common = np.bincount(owner[np.isin(flat, flat[at[i] : at[i + 1]])], minlength=len(size))
-            near = np.flatnonzero(left & (common >= least * (size + size[i] - common) - 1e-12))
+            v = value[at[i] : at[i + 1]]
+            v = v[times[v] > 1]
+            t = times[v]
+            spots = np.repeat(begin[v] - np.r_[0, np.cumsum(t)[:-1]][: len(t)], t) + np.arange(t.sum())
+            common = np.bincount(by_value[spots], minlength=n)
+            near = np.flatnonzero(left & (common > 0) & (common >= least * (size + size[i] - common) - 1e-12))
             left[near] = False
             queue += near.tolist()
             src += [int(h[i])] * len(near)
@@ -227,6 +230,19 @@ def near_links(flat: np.ndarray, at: np.ndarray, h: np.ndarray, least: float) ->
     return src, dst
 
 
+def near_pairs(flat: np.ndarray, at: np.ndarray, first: np.ndarray, least: float) -> np.ndarray:
+    """For groups of two sets each, first[i] and first[i] + 1: whether their Jaccard similarity is at least `least`, all at once."""
+    size = np.diff(at)
+    total = size[first] + size[first + 1]
+    group = np.repeat(np.arange(len(first)), total)
+    spots = np.repeat(at[first] - np.r_[0, np.cumsum(total)[:-1]][: len(first)], total) + np.arange(total.sum())
+    v = flat[spots]
+    order = np.lexsort((v, group))
+    v, group = v[order], group[order]
+    common = np.bincount(group[1:][(v[1:] == v[:-1]) & (group[1:] == group[:-1])], minlength=len(first))
+    return (common > 0) & (common >= least * (total - common) - 1e-12)
+
+
 def verified_links(groups: DataFrame, least: float) -> DataFrame:
     """(src, dst) from groups(key, h, shingles), where (key, h) is distinct."""
     sizes = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -242,12 +258,14 @@ def verified_links(groups: DataFrame, least: float) -> DataFrame:
             sets = t.column(4).combine_chunks()
             flat, off = sets.flatten().to_numpy(), np.r_[0, np.cumsum(sets.value_lengths().to_numpy())]
             first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            src, dst = [], []
-            for a, b in zip(first, np.r_[first[1:], len(key)]):
-                if b - a > 1:
-                    s, d = near_links(flat[off[a] : off[b]], off[a : b + 1] - off[a], h[a:b], least)
-                    src += s
-                    dst += d
+            size = np.diff(np.r_[first, len(key)])
+            two = first[size == 2]
+            two = two[near_pairs(flat, off, two, least)]
+            src, dst = h[two].tolist(), h[two + 1].tolist()
+            for a, b in zip(first[size > 2], (first + size)[size > 2]):
+                s, d = near_links(flat[off[a] : off[b]], off[a : b + 1] - off[a], h[a:b], least)
+                src += s
+                dst += d
             return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
         for b in batches:
@@ -272,7 +290,7 @@ def verified_links(groups: DataFrame, least: float) -> DataFrame:
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     """(h, shingles) for wanted(doc, para), which has one place for each h: the texts are cut again, only where a candidate stands."""
     per = wanted.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_list("para")).alias("_paras"))  # bounded by a document's paragraphs
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(per, F.col("id") == F.col("_doc")).select("text", "_paras")
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).join(per, F.col("id") == F.col("_doc")).select("text", "_paras")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,19 +347,22 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the removals: each goes from its first word to the next paragraph's, the rest of the text stays as it is."""
-    gone = repeated_paragraphs(docs, id_col, text_col, **how).where("NOT kept").groupBy(F.col("doc").alias("_doc"))
-    gone = gone.agg(F.array_sort(F.collect_list(F.struct("line", "first_word", "words"))).alias("_gone"))
-    rows = docs.join(gone, docs[id_col] == F.col("_doc"), "left").drop("_doc")
-    at, kinds = docs.columns.index(text_col), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    """docs without the removals: each goes from its first word to the next paragraph's, the rest of the text stays as it is. Columns are those of docs, whatever their names.
+
+    Null and empty texts and rows with a null id stay as they are. Of rows that share an id, each loses the paragraphs (by place) that are removals in any of
+    them. An empty table gives no rows.
+    """
+    gone = repeated_paragraphs(docs, id_col, text_col, **how).where("NOT kept").groupBy("doc")
+    gone = gone.agg(F.array_sort(F.collect_list(F.struct("line", "first_word", "words"))).alias("gone"))  # bounded by a document's paragraphs
+    rows = packed(docs, column(id_col).alias("id"), column(text_col).alias("text")).join(gone, F.col("id") == F.col("doc"), "left").select("_row", "text", "gone")
+    kind = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [without(t, g) if g else t for t, g in zip(b.column(at).to_pylist(), b.column(len(docs_columns)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(docs_columns))], names=docs_columns)
+            texts = [without(t, g) if g else t for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["_row", "text"])
 
-    docs_columns = docs.columns
-    return arrow_map(rows, run, kinds)
+    return unpacked(arrow_map(rows, run, kind), docs.columns, **{text_col: F.col("text")})
 
 
 def without(text: str | None, gone: list[dict]) -> str | None:

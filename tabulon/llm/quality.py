@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import column, word_count
 
 #: Labelled rows that a fit takes at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 8000
@@ -46,8 +46,8 @@ def shares(c: dict[str, Column]) -> dict[str, Column]:
 
 def with_shares(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """Two structs: _k with the columns of keep, and _s with the shares; and _n, a number that accepted() uses."""
-    kept = F.struct(*(docs[c] for c in keep)).alias("_k")
-    stats = docs.select(kept, F.monotonically_increasing_id().alias("_n"), *(v.alias(k) for k, v in statistics(docs[text_col]).items()))
+    kept = F.struct(*map(column, keep)).alias("_k")
+    stats = docs.select(kept, F.monotonically_increasing_id().alias("_n"), *(v.alias(k) for k, v in statistics(column(text_col)).items()))
     made = shares({k: F.col(k) for k in stats.columns[2:]})
     return stats.select("_k", "_n", F.struct(*(v.alias(k) for k, v in made.items())).alias("_s"))
 
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: RuleModel, text_col: str = "text", keep: list[
 
 
 def accepted(docs: DataFrame, model: RuleModel, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose score is at least `least`.
+    """The rows of docs, all columns, whose score is at least `least`; null and empty texts are scored like others, repeated rows stay or go together.
 
     A filter on the score alone would be pushed below the statistics, and Catalyst would then compute each of them anew in every rule that
     names it. Since the filter also reads _n, which isn't deterministic, it stays above, and every statistic is computed once.

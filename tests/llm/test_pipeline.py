@@ -36,7 +36,7 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert not any(130 <= r[0] < 150 for r in got) and sum(r[0] < 130 for r in got) == 130
         elif name == "line_dedup":
             want = test_lines.brute([r[:2] for r in before], 10)
-            kept = {i: t for i, (t, _, gone) in want.items() if not gone or (t or "").strip()}
+            kept = {i: t for i, (t, _, gone, *_) in want.items() if not gone or (t or "").strip()}
             assert {r[0]: r[1] for r in got} == kept and all(r[4] == len(r[1] or "") for r in got)
             assert not any(100 <= r[0] < 120 for r in got)
         elif name == "near_dedup":
