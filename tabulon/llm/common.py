@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -77,9 +78,17 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and broadcasts of plans that nothing refers to any more. It does so only when the driver collects garbage, which a driver
+    with room to spare puts off while the executors' disks fill."""
+    gc.collect(0)
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete what written() stored, once nothing reads it any more."""
     jvm, path = df.sparkSession._jvm, df._scratch

@@ -8,7 +8,7 @@ verified by exact Jaccard similarity, and components of the verified links, with
 class but the first (by document id, then place) are removals; a passage counts from `min_words` words of such paragraphs in a row.
 
 A piece's bands are the least values of one hash, as many as prefix filtering asks for: two sets that are similar enough share one of
-them for certain. A whole line's bands are of pairs of values of many hashes, by `recall`. Lines and pieces are separate classes.
+them for certain. A whole line's bands are the least values of several hashes, as many as `recall` asks for. Lines and pieces are separate classes.
 
 Equal paragraphs are one vertex. Buckets are cut into blocks of bounded size and give spanning forests, not pairs.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from .components import connected_components
 #: Words of a paragraph cut out of a longer line: at least, at most, and one cut in so many words on average.
 LEAST, MOST, CUT_EVERY = 6, 32, 8
 SHINGLE = 5
-#: Values in a band of a whole line.
-BAND_ROWS = 2
+#: Values in a band, of a whole line here and of a whole text in simhash.py.
+LINE_ROWS, BAND_ROWS = 1, 2
+#: Paragraphs whose keys a task remembers to have given, so that it doesn't give them again for a copy.
+REMEMBERED = 500_000
 #: Paragraphs in a block of a bucket.
 BLOCK = 1024
 
@@ -51,6 +54,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+@lru_cache
+def band_factors(bands: int) -> np.ndarray:
+    """An odd factor for each band, which makes its hash."""
+    return mixed(np.arange(1, bands + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+
+
 _powers = np.ones(1, np.uint64)
 
 
@@ -142,18 +151,12 @@ class Cut:
         return v[first], owner[first]
 
     def band_keys(self, bands: int) -> np.ndarray:
-        """A key for each whole line and band."""
-        out = np.zeros((len(self.long), bands), np.uint64)
+        """A key for each whole line and band: the least value of the line's shingles under the band's hash."""
         if not len(self.long):
-            return out
+            return np.zeros((0, bands), np.uint64)
         stop = np.stack([self.long_start, self.long_end - SHINGLE + 1], 1).ravel()
-        for b in range(bands):
-            key = np.full(len(self.long), b + 1, np.uint64)
-            for r in range(BAND_ROWS):
-                odd = mixed(np.array([1 + b * BAND_ROWS + r], np.uint64) * _BASE) | np.uint64(1)
-                key = mixed(key * _MULT + np.minimum.reduceat(self.shingles * odd, stop)[::2])
-            out[:, b] = key
-        return out
+        values = self.shingles[:, None] * band_factors(bands)
+        return mixed(np.minimum.reduceat(values, stop, axis=0)[::2] + np.arange(1, bands + 1, dtype=np.uint64))
 
     def set_of(self, i: int) -> np.ndarray:
         if i >= len(self.start):
@@ -172,9 +175,11 @@ class Cut:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, least: float, bands: int) -> DataFrame:
-    """(doc, para, line, first_word, words, h, whole, keys): every paragraph of every text with a non-null id; `whole` are lines beside their pieces."""
+    """(doc, para, line, first_word, words, h, whole, keys): every paragraph of every text with a non-null id; `whole` are lines beside their pieces. A copy that a task
+    meets again may have no keys, since those of its first are the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -183,6 +188,10 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, least: float, bands:
                 line, first, words, h, keys, many = (np.concatenate(x) for x in zip(*(c.rows(least, bands) for c in cuts)))
                 para = np.concatenate([np.arange(k) for k in n])
                 whole = np.concatenate([np.arange(k) >= len(c.start) for k, c in zip(n, cuts)])
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                new = np.array([x not in seen and not seen.add(x) for x in h.tolist()], bool)
+                keys, many = keys[np.repeat(new, many)], np.where(new, many, 0)
                 cols = [
                     part.column(0).take(pa.array(np.repeat(np.arange(len(cuts)), n))), *(pa.array(x.astype(np.int32)) for x in (para, line, first, words)), pa.array(h.view(np.int64)), pa.array(whole),
                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(keys.view(np.int64))),
@@ -318,7 +327,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null texts have no paragraphs; rows with a null id are left out and lend no copies; rows that
     share an id are texts of one document. Paragraphs are equal if their 64-bit hashes are.
     """
-    t = written(paragraphs(docs, id_col, text_col, similarity, bands_for(similarity, recall)))
+    t = written(paragraphs(docs, id_col, text_col, similarity, bands_for(similarity, recall, LINE_ROWS)))
     keyed = t.select("h", F.explode("keys").alias("key"))
     near = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
     groups = written(_semi(keyed, written(near), "key").distinct())
