@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, arrow_map, column, packed, unpacked, written
+from .common import WORD, arrow_map, column, drop_written, packed, unpacked, written
 from .components import connected_components
 
 #: Words of a paragraph cut out of a longer line: at least, at most, and one cut in so many words on average.
@@ -252,12 +252,12 @@ def near_pairs(flat: np.ndarray, at: np.ndarray, first: np.ndarray, least: float
     return (common > 0) & (common >= least * (total - common) - 1e-12)
 
 
-def verified_links(groups: DataFrame, least: float) -> DataFrame:
-    """(src, dst) from groups(key, h, shingles), where (key, h) is distinct."""
+def verified_links(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(src, dst) from groups(key, h), distinct rows, and sets(h, shingles), a row for each h. Sets travel once to each block that needs them."""
     sizes = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = groups.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "h", "shingles")
+    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "h").join(sets, "h").select("key", "x", "y", "h", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -329,13 +329,16 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     t = written(paragraphs(docs, id_col, text_col, similarity, bands_for(similarity, recall, LINE_ROWS)))
     keyed = t.select("h", F.explode("keys").alias("key"))
-    near = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
-    groups = written(_semi(keyed, written(near), "key").distinct())
-    some = groups.select("h").distinct()
+    near = written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key"))
+    groups = written(_semi(keyed, near, "key").distinct())
+    drop_written(near)
     places = t.groupBy("h").agg(F.min(F.struct("doc", "para")).alias("p"))  # before the join: a paragraph with most rows is one row from each task
-    places = _semi(places, written(some), "h").select("p.doc", "p.para")
-    sets = shingle_sets(docs, written(places), id_col, text_col, similarity)
-    comp = connected_components(verified_links(written(groups.join(sets, "h")), similarity)).select(F.col("node").alias("h"), "component")
+    places = written(_semi(places, groups.select("h").distinct(), "h").select("p.doc", "p.para"))
+    sets = written(shingle_sets(docs, places, id_col, text_col, similarity))
+    drop_written(places)
+    comp = connected_components(verified_links(groups, sets, similarity)).select(F.col("node").alias("h"), "component")
+    drop_written(groups)
+    drop_written(sets)
     many = t.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").join(comp, "h", "full")
     classes = written(many.select("h", F.coalesce("component", "h").alias("component_id"), F.col("component").isNotNull().alias("_near")))
     rows = written(t.drop("keys").join(classes, "h").where("NOT whole OR _near"))  # one join and nothing else by this key, so AQE can split a hot one

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shingle_hashes, words_of, written
+from .common import arrow_map, drop_written, shingle_hashes, words_of, written
 from .components import connected_components
 from .paragraphs import BAND_ROWS, bands_for, mixed, verified_links
 
@@ -188,7 +188,7 @@ def like_links(docs: DataFrame, fps: DataFrame, id_col: str, text_col: str, simi
                 out = np.zeros((len(sets), bands), np.uint64)
                 for i, x in enumerate(sets):
                     if len(x):
-                        least = np.array([(x * o).min() for o in odd]).reshape(bands, BAND_ROWS)
+                        least = np.stack([(part[:, None] * odd).min(axis=0) for part in np.array_split(x, -(-len(x) // 4096))]).min(axis=0).reshape(bands, BAND_ROWS)
                         key = salt
                         for r in range(BAND_ROWS):
                             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[:, r])
@@ -207,11 +207,14 @@ def like_links(docs: DataFrame, fps: DataFrame, id_col: str, text_col: str, simi
     kind = docs.schema[id_col].dataType.simpleString()
     t = written(arrow_map(rows, keys, f"id {kind}, h bigint, keys array<bigint>"))
     keyed = t.select("h", F.explode("keys").alias("key"))
-    near = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
-    groups = written(keyed.join(written(near), "key", "left_semi").distinct())
+    near = written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key"))
+    groups = written(keyed.join(near, "key", "left_semi").distinct())
+    drop_written(near)
     some = written(t.groupBy("h").agg(F.min("id").alias("id")).join(groups.select("h").distinct(), "h", "left_semi"))
+    drop_written(t)
     sets = arrow_map(rows.join(some.select("id").distinct(), "id", "left_semi").select("text"), sets_of, "h bigint, shingles array<bigint>").dropDuplicates(["h"])
-    links = verified_links(written(groups.join(sets, "h")), similarity)
+    links = written(verified_links(groups, written(sets), similarity))
+    drop_written(groups)
     fp = written(fps.select("h", "fp").join(some.select("h"), "h", "left_semi").distinct())
     a, b = fp.select(F.col("h").alias("src"), F.col("fp").alias("a")), fp.select(F.col("h").alias("dst"), F.col("fp").alias("b"))
     return links.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))

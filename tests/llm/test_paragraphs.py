@@ -103,7 +103,7 @@ def test_blocks_and_forest(spark, monkeypatch):
     rng = random.Random(3)
     sets = [sorted(set(range(40)) - {rng.randrange(40), rng.randrange(40)}) for _ in range(60)] + [list(range(100, 140))]
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate(sets)], "key bigint, h bigint, shingles array<bigint>")
-    comp = {r.node: r.component for r in P.connected_components(P.verified_links(df, 0.8)).collect()}
+    comp = {r.node: r.component for r in P.connected_components(P.verified_links(df.select("key", "h"), df.select("h", "shingles"), 0.8)).collect()}
     assert set(comp) == set(range(60)) and set(comp.values()) == {0}
     assert len(P.near_links(np.array([1, 2, 1, 2, 1, 2]), np.array([0, 2, 4, 6]), np.arange(3), 0.8)[0]) == 2
     assert P.bands_for(0.8, 0.95) == 3
