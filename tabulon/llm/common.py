@@ -71,24 +71,29 @@ def unpacked(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
     return df.select(*(new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in names), *(v.alias(k) for k, v in new.items() if k not in names))
 
 
+#: Spark's own setting: the shuffle files of a query go when the query ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts lineage, survives lost executors and is computed once."""
+    """df as a Parquet table in the shared folder, read back: cuts lineage, survives lost executors and is computed once. Nothing needs the query's shuffle files after that."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
-    release(spark)
+    gc.collect()  # plans that Python still holds in cycles would fill the driver's memory
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and broadcasts of plans that nothing refers to any more. It does so only when the driver collects garbage, which a driver
-    with room to spare puts off while the executors' disks fill."""
-    gc.collect(0)
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_written(df: DataFrame) -> None:
     """Delete what written() stored, once nothing reads it any more."""
     jvm, path = df.sparkSession._jvm, df._scratch
