@@ -90,7 +90,8 @@ def written(df: DataFrame) -> DataFrame:
             spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
-    gc.collect()  # plans that Python still holds in cycles would fill the driver's memory
+    gc.collect()  # plans that Python still holds in cycles would fill the driver's memory, and without a word the JVM takes all it may before it clears any
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
