@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, drop_written, packed, unpacked, word_count, written
+from .common import column, packed, unpacked, word_count, written
 
 #: Buckets that order the distinct lines by hash.
 LINE_BUCKETS = 4096
@@ -58,54 +58,57 @@ def first_ranks(positions: DataFrame) -> DataFrame:
 
 
 def rank_pairs(pairs: DataFrame, width: int) -> DataFrame:
-    """(doc, tie, line, rank, f) from pairs(doc, tie, line, a, b): f is the earliest place of the pair's interval. Pairs that occur once are gone.
+    """(a, b, f, rank) of the pairs that occur more than once, from pairs(doc, tie, line, a, b): f is the earliest place of the pair's interval.
     `width` is the range of second ranks that a bucket orders, so a window's group has at most so many rows."""
     keys = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("f")).where("n > 1")
     keys = keys.withColumn("bucket", F.floor(F.col("b") / width))
     base = _offsets(keys.groupBy("a", "bucket").agg(F.sum("n").alias("n")), ["a"], "bucket", "n")
     w = Window.partitionBy("a", "bucket").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     ranked = keys.withColumn("n1", F.coalesce(F.sum("n").over(w), F.lit(0))).join(base, ["a", "bucket"])
-    ranked = ranked.select("a", "b", "f", (F.col("a") + F.col("n0") + F.col("n1")).alias("rank"))
-    return pairs.join(ranked, ["a", "b"]).select(*PLACE, "rank", "f")
+    return ranked.select("a", "b", "f", (F.col("a") + F.col("n0") + F.col("n1")).alias("rank"))
 
 
-def double(suffixes: DataFrame, h: int, width: int) -> DataFrame:
-    """rank_pairs() by 2h lines from suffixes(doc, tie, line, rank) by h lines; suffixes alone in their interval are gone."""
+def first_level(at: DataFrame, width: int) -> DataFrame:
+    """(doc, tie, line, rank, f) by one line, from at(doc, tie, line, a, b)."""
+    return at.select(*PLACE, "a", "b").join(rank_pairs(at, width), ["a", "b"]).select(*PLACE, "rank", "f")
+
+
+def double(level: DataFrame, h: int, width: int) -> DataFrame:
+    """level(doc, tie, line, rank, f) by h lines with `next_rank` and `next_f`, the same by 2h lines; null for suffixes that are alone by then."""
     ahead = F.max("rank").over(Window.partitionBy(*DOC).orderBy("line").rangeBetween(h, h))
-    pairs = suffixes.select(*PLACE, F.col("rank").alias("a"), ahead.alias("b")).where("b IS NOT NULL")
-    return rank_pairs(pairs, width)
+    pairs = level.select(*PLACE, F.col("rank").alias("a"), ahead.alias("b"), "f")
+    ranked = rank_pairs(pairs.where("b IS NOT NULL"), width).select("a", "b", F.col("f").alias("next_f"), F.col("rank").alias("next_rank"))
+    return pairs.join(ranked, ["a", "b"], "left").select(*PLACE, F.col("a").alias("rank"), "f", "next_rank", "next_f")
 
 
-def _later() -> Column:
-    """Whether the row's place isn't the earliest of its interval."""
-    return F.struct(*PLACE) != F.col("f")
+def next_level(doubled: DataFrame) -> DataFrame:
+    return doubled.where("next_rank IS NOT NULL").select(*PLACE, F.col("next_rank").alias("rank"), F.col("next_f").alias("f"))
 
 
-def _earliest(f: str, length: Column | str) -> list[Column]:
-    """An interval's earliest member as a row of the interval."""
-    return [*(F.col(f).getField(c).alias(c) for c in PLACE), (F.col(length) if isinstance(length, str) else length).alias("lines"), F.col(f).alias("f")]
+def _later(f: str = "f") -> Column:
+    """Whether the row's place isn't the earliest of its interval."""
+    return F.struct(*PLACE) != F.col(f)
 
 
 def longest_copies(levels: list[DataFrame]) -> DataFrame:
     """(doc, tie, line, lines, f): for each place where a run starts that also stands at an earlier place, the longest such run and the earliest place
-    of its interval. levels[i] is rank_pairs() by 2^i lines."""
+    of its interval. levels[i] is double() from 2^i lines."""
     now = None
+    row = lambda lines, f: F.struct(*PLACE, lines.alias("lines"), f.alias("f"))
     for i in reversed(range(len(levels))):
         h, level = 1 << i, levels[i]
-        new = level.where(_later())
-        if i + 1 < len(levels):  # those that are later members at twice the length rest there or deeper
-            new = new.join(levels[i + 1].where(_later()).select(*PLACE), PLACE, "left_anti")
+        new = level.where(_later() & ~F.coalesce(_later("next_f"), F.lit(False)))  # the others rest at twice the length or deeper
         new = new.select(*PLACE, F.lit(h).alias("lines"), "f")
-        rows = new.unionAll(new.select("f").distinct().select(*_earliest("f", F.lit(h))))
+        rows = new.unionAll(new.select("f").distinct().select(*(F.col("f").getField(c).alias(c) for c in PLACE), F.lit(h).alias("lines"), "f"))
         if now is not None:
             ahead = level.select(*DOC, F.col("line").alias("at"), "rank")
             seen = now.withColumn("at", F.col("line") + F.col("lines")).join(ahead, [*DOC, "at"], "left").drop("at")
             parts = seen.where("rank IS NOT NULL").groupBy("f", "lines", "rank").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("g")).where("n > 1").drop("n")
-            parts = written(parts)
             seen = seen.join(parts, ["f", "lines", "rank"], "left")
-            deeper = F.col("g").isNotNull() & (F.struct(*PLACE) != F.col("g"))
-            rows = rows.unionAll(seen.select(*PLACE, F.when(deeper, F.col("lines") + h).otherwise(F.col("lines")).alias("lines"), F.when(deeper, F.col("g")).otherwise(F.col("f")).alias("f")))
-            rows = rows.unionAll(parts.select(*_earliest("g", F.col("lines") + h)))
+            deeper, earliest = F.coalesce(_later("g"), F.lit(False)), F.coalesce(~_later("g"), F.lit(False))
+            longer = row(F.col("lines") + h, F.col("g"))
+            rests = F.when(deeper, longer).otherwise(row(F.col("lines"), F.col("f")))
+            rows = rows.unionAll(seen.select(F.explode(F.when(earliest, F.array(rests, longer)).otherwise(F.array(rests))).alias("r")).select("r.*"))
         now = written(rows)
     return now.where(_later())
 
@@ -120,13 +123,13 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     positions = line_positions(docs.where(column(id_col).isNotNull()), id_col, text_col)
     at = positions.join(first_ranks(positions), ["h1", "h2"]).select(*PLACE, F.col("rank").alias("a"), F.lit(0).cast("bigint").alias("b"), "words").dropDuplicates(PLACE)
     at = written(at)
-    levels = [written(rank_pairs(at.select(*PLACE, "a", "b"), rank_width))]
-    while True:
-        new = written(double(levels[-1].select(*PLACE, "rank"), 1 << (len(levels) - 1), rank_width))
-        if new.isEmpty():
-            drop_written(new)
-            break
-        levels.append(new)
+    levels: list[DataFrame] = []
+    level = written(first_level(at, rank_width))
+    while not level.isEmpty():
+        levels.append(written(double(level, 1 << len(levels), rank_width)))
+        level = next_level(levels[-1])
+    if not levels:
+        return at.where("false").select(*PLACE, F.lit(0).alias("lines"), "words")
     by_line = Window.partitionBy(*DOC).orderBy("line")
     end = F.col("line") + F.col("lines") - 1
     runs = longest_copies(levels).select(*PLACE, "lines", end.alias("end"), F.lag(end).over(by_line).alias("before"))

@@ -66,9 +66,9 @@ def test_ranks_follow_the_suffix_array_from_the_first(spark):
     assert all(first[by_line[i]] == sum(first[by_line[j]] < first[by_line[i]] for j in range(60)) for i in range(60))  # places of smaller lines
     key = [first[by_line[i]] for i in range(60)]
     now = spark.createDataFrame([(1, 0, i, k, 0) for i, k in enumerate(key)], "doc bigint, tie bigint, line int, a bigint, b bigint")
-    now = L.rank_pairs(now, 2)
+    now = L.first_level(now, 2)
     for h in (1, 2, 4):
-        now = L.double(now, h, 2)
+        now = L.next_level(L.double(now, h, 2))
         got = {r.line: r["rank"] for r in now.collect()}
         same = lambda p, q: key[p : p + 2 * h] == key[q : q + 2 * h]
         assert set(got) == {p for p in range(61 - 2 * h) if any(same(p, q) for q in range(61 - 2 * h) if q != p)}
