@@ -19,13 +19,12 @@ def build_set(items: Column) -> Column:
 
 
 def build_dict(keys: Column, values: Column) -> Column:
-    """The last value of a repeated key stays, whatever spark.sql.mapKeyDedupPolicy says. Linear in the number of entries, times distinct keys kept."""
-    last = F.aggregate(
-        F.arrays_zip(keys.alias("k"), values.alias("v")),
-        F.array().cast("array<struct<k:binary,v:bigint>>"),
-        lambda acc, e: F.array_append(F.filter(acc, lambda x: x["k"] != e["k"].cast("binary")), F.struct(e["k"].cast("binary").alias("k"), e["v"].cast("bigint").alias("v"))),
-    )
-    return F.map_from_entries(last)
+    """The last value of a repeated key stays, whatever spark.sql.mapKeyDedupPolicy says: entries are sorted by key and place, and the last of each key is kept."""
+    entry = lambda e, i: F.struct(e["k"].cast("binary").alias("k"), i.alias("i"), e["v"].cast("bigint").alias("v"))
+    entries = F.array_sort(F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), entry))
+    after = F.slice(entries, 2, F.greatest(F.size(entries), F.lit(1)))  # beside each entry the next one, null for the last
+    paired = F.filter(F.arrays_zip(entries.alias("e"), after.alias("n")), lambda x: x["n"].isNull() | (x["e"]["k"] != x["n"]["k"]))
+    return F.map_from_entries(F.transform(paired, lambda x: F.struct(x["e"]["k"].alias("key"), x["e"]["v"].alias("value"))))
 
 
 def length(c: Column) -> Column:
@@ -85,3 +84,9 @@ def dict_entries(c: Column) -> Column:
 def blob_size(c: Column) -> Column:
     """Bytes; 0 for an empty or missing blob."""
     return F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint")
+
+
+def blob_read(c: Column, offset: int | Column, n: int | Column) -> Column:
+    """At most n bytes from offset (from 0); what is beyond the end isn't there. Null for a missing blob."""
+    offset, n = (F.lit(x) if isinstance(x, int) else x for x in (offset, n))
+    return F.substring(c, offset + 1, F.greatest(n, F.lit(0)))

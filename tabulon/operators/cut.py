@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in spark.checkpoint.dir; where that is unset (tests, one machine), in a temp folder."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tabulon-cut")
+    """A new folder name in spark.checkpoint.dir, which driver and executors share. Where that is unset, one machine's temp folder does if all runs on that
+    machine; on a cluster it is an error."""
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = os.path.join(tempfile.gettempdir(), "tabulon-cut")
     return f"{top.rstrip('/')}/c-{uuid.uuid4().hex}"
 
 

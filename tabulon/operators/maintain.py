@@ -36,8 +36,8 @@ def compact(t: Table) -> Table:
 
 
 def pk_fold(t: Table) -> DataFrame:
-    """(n, fold): a count and an order-independent fold of the primary keys."""
-    return t.df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(t.otype.pk)), F.lit(0).cast("bigint")).alias("fold"))
+    """(n, sum, fold): count, sum and an order-independent fold of the primary keys."""
+    return t.df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col(t.otype.pk).cast("decimal(38,0)")), F.lit(0)).alias("sum"), F.coalesce(F.bit_xor(F.xxhash64(t.otype.pk)), F.lit(0).cast("bigint")).alias("fold"))
 
 
 def verify_equivalent(a: list[Table], b: list[Table]) -> None:

@@ -101,10 +101,10 @@ def range_inclusive(spark, d):
     return query.range_inclusive(_orders_ints(spark, d), "o_custkey", 100, 200).withColumnRenamed("_okey", "okey")
 
 
-@register("SELECT o_orderkey AS okey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS pos FROM orders WHERE o_orderkey < 9000")
+@register("SELECT o_orderkey AS okey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS pos FROM orders")
 def sort_by_prop(spark, d):
     t = _orders_ints(spark, d)
-    return query.sort_by_prop(t, query.where(t, [P(0, Op.LT, 9000)], ordered=False), "o_custkey", position="pos").withColumnRenamed("_okey", "okey")
+    return query.sort_by_prop(t, query.where(t, [], ordered=False), "o_custkey", position="pos").withColumnRenamed("_okey", "okey")
 
 
 @register("SELECT o_orderkey AS pk, o_custkey AS link FROM orders WHERE o_orderkey IN (77, 78, 999999999)")
@@ -202,13 +202,13 @@ def backlink_collect(spark, d):
     return links.backlinks(_holes(spark, d), "o_custkey", ordered=True)
 
 
-_CHANGE = "(SELECT o_orderkey AS pk, o_custkey AS old, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey - o_custkey % 2 END AS link FROM orders WHERE o_orderkey < 5000)"
+_CHANGE = "(SELECT o_orderkey AS pk, o_custkey AS old, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey - o_custkey % 2 END AS link FROM orders)"
 
 
 @register(f"SELECT pk, link, CAST(3 AS BIGINT) AS version FROM {_CHANGE} WHERE link IS DISTINCT FROM old")
 def set_link(spark, d):
     t = S.table(spark, d, "orders")
-    wanted = t.df.where("o_orderkey < 5000").select(F.col("o_orderkey").alias("pk"), F.expr("CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey - o_custkey % 2 END").alias("target"))
+    wanted = t.df.select(F.col("o_orderkey").alias("pk"), F.expr("CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey - o_custkey % 2 END").alias("target"))
     return links.set_link(t, "o_custkey", wanted, 3).select(F.col("o_orderkey").alias("pk"), F.col("o_custkey").alias("link"), F.col("_version").alias("version"))
 
 
@@ -235,10 +235,10 @@ def _after(t: Table, prop: str, changes: DataFrame) -> DataFrame:
 _SETS = "(SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)"
 
 
-@register(f"SELECT s.o AS okey, CASE WHEN s.o < 500 AND h.o IS NULL THEN 3 ELSE 2 END::BIGINT AS version, s.p AS target FROM (SELECT o, p FROM {_SETS} UNION SELECT DISTINCT o, 7 FROM {_SETS} WHERE o < 500) s LEFT JOIN (SELECT o FROM {_SETS} WHERE p = 7) h USING (o)")
+@register(f"SELECT s.o AS okey, CASE WHEN h.o IS NULL THEN 3 ELSE 2 END::BIGINT AS version, s.p AS target FROM (SELECT o, p FROM {_SETS} UNION SELECT DISTINCT o, 7 FROM {_SETS}) s LEFT JOIN (SELECT o FROM {_SETS} WHERE p = 7) h USING (o)")
 def link_set_add(spark, d):
     t = S.order_parts(spark, d)
-    wanted = t.df.where("_okey < 500").select(F.col("_okey").alias("pk"), F.lit(7).cast("bigint").alias("target"))
+    wanted = t.df.select(F.col("_okey").alias("pk"), F.lit(7).cast("bigint").alias("target"))
     return _after(t, "parts", links.link_set_add(t, "parts", wanted, 3))
 
 
@@ -444,24 +444,24 @@ def delete_block(spark, d):
 
 
 def _owners(spark, d) -> list[Table]:
-    """Customers that own their nation-sized child: child k belongs to customer k, for k below 1000."""
+    """Customers that own a child: child k belongs to customer k, for two customers of three."""
     c = S.table(spark, d, "customer").df
     owner = ObjectType("owner", (Prop("pk"), Prop("child", Kind.LINK, target=1, rule=Rule.CASCADE)))
     child = ObjectType("child", (Prop("pk"), Prop("note")), embedded=True)
-    o = c.select("_okey", "_version", F.col("c_custkey").alias("pk"), F.when(F.col("c_custkey") < 1000, F.col("_okey")).alias("child"))
-    k = c.where("c_custkey < 1000").select("_okey", "_version", F.col("c_custkey").alias("pk"), F.col("c_nationkey").alias("note"))
-    return [Table(owner, o, 10_000_000, 0), Table(child, k, 10_000_000, 0)]
+    o = c.select("_okey", "_version", F.col("c_custkey").alias("pk"), F.when(F.col("c_custkey") % 3 != 0, F.col("_okey")).alias("child"))
+    k = c.where("c_custkey % 3 <> 0").select("_okey", "_version", F.col("c_custkey").alias("pk"), F.col("c_nationkey").alias("note"))
+    return [Table(owner, o, 10**15, 0), Table(child, k, 10**15, 0)]
 
 
-@register("SELECT c_custkey AS owner, CASE WHEN c_custkey % 7 = 0 AND c_custkey < 1400 THEN 99 WHEN c_custkey < 1000 THEN c_nationkey END::BIGINT AS note FROM customer")
+@register("SELECT c_custkey AS owner, CASE WHEN c_custkey % 7 = 0 THEN 99 WHEN c_custkey % 3 <> 0 THEN c_nationkey END::BIGINT AS note FROM customer")
 def embedded_replace(spark, d):
     w = _owners(spark, d)
-    batch = w[0].df.where("pk % 7 = 0 AND pk < 1400").select(F.col("pk").alias("owner_pk"), (F.col("pk") + 5_000_000).alias("pk"), F.lit(99).cast("bigint").alias("note"))
+    batch = w[0].df.where("pk % 7 = 0").select(F.col("pk").alias("owner_pk"), (F.col("pk") + 1_000_000_000_000).alias("pk"), F.lit(99).cast("bigint").alias("note"))
     _, now = graph.insert_embedded(w, 0, "child", batch, 3)
     return links.follow(now[0], "child", now[1]).select(F.col("pk").alias("owner"), F.col("to_note").alias("note"))
 
 
-@register("SELECT c_custkey AS owner, CASE WHEN c_custkey < 1000 AND c_custkey % 7 <> 0 THEN c_nationkey END::BIGINT AS note FROM customer")
+@register("SELECT c_custkey AS owner, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 7 <> 0 THEN c_nationkey END::BIGINT AS note FROM customer")
 def embedded_clear(spark, d):
     w = _owners(spark, d)
     done = graph.clear_embedded(w, 0, "child", w[0].df.where("pk % 7 = 0").select(F.col("pk").alias("owner_pk")))
@@ -521,9 +521,9 @@ def compact(spark, d):
     return with_rank(dense.df.select("_okey"), "_okey", name="row").select(F.col("_okey").alias("okey"), "row")
 
 
-@register(None)
+@register("SELECT count(*) AS n, sum(o_orderkey)::VARCHAR AS sum FROM orders")
 def pk_fold(spark, d):
-    return maintain.pk_fold(S.table(spark, d, "orders"))
+    return maintain.pk_fold(S.table(spark, d, "orders")).select("n", F.col("sum").cast("string").alias("sum"))
 
 
 @register("""SELECT 3 AS type, 'dangling link o_custkey' AS problem, count(*) AS n FROM orders WHERE o_custkey % 100 = 0 HAVING count(*) > 0""")
@@ -534,21 +534,96 @@ def integrity(spark, d):
     return maintain.integrity_report(w)
 
 
-@register("SELECT o_orderkey AS pk, o_custkey + 1 AS raw FROM orders WHERE o_orderkey < 4000")
-def time_travel(spark, d):
-    """Three commits to a store in the shared folder, read at the first of them."""
+def _store(spark):
+    """A new store in the shared folder."""
     from .operators.cut import scratch
     from .sources.store import Store
 
+    return Store.create(spark, scratch(spark))
+
+
+def _committed(spark, d, commits: int = 3):
+    """All orders in `commits` commits, each with the next stretch of keys; the store and the versions."""
     t = S.table(spark, d, "orders")
-    store = Store.create(spark, scratch(spark))
+    top, store, versions = t.df.agg(F.max("o_orderkey")).first()[0], _store(spark), []
     store.set_retain_versions(10)
-    first = None
-    for k, part in enumerate(("o_orderkey < 4000", "o_orderkey >= 4000 AND o_orderkey < 8000", "o_orderkey >= 8000")):
+    for k in range(commits):
         with store.begin_write() as txn:
             if k == 0:
                 txn.add_type(ObjectType("orders", (Prop("o_orderkey"), Prop("o_custkey"))))
-            txn.bulk_append(0, t.df.where(part).select("o_orderkey", "o_custkey", F.col("o_orderkey").alias("_pos")))
-            first = first or txn.version
+            part = t.df.where(f"o_orderkey * {commits} div {top + 1} = {k}")
+            txn.bulk_append(0, part.select("o_orderkey", "o_custkey", F.col("o_orderkey").alias("_pos")))
+            versions.append(txn.version)
             txn.commit()
-    return store.read_at(first).table(0).df.select(F.col("o_orderkey").alias("pk"), (F.col("o_custkey") + 1).alias("raw"))
+    return store, versions
+
+
+@register("SELECT o_orderkey AS pk, o_custkey + 1 AS raw FROM orders WHERE o_orderkey * 3 // (SELECT max(o_orderkey) + 1 FROM orders) = 0")
+def time_travel(spark, d):
+    """Three commits to a store in the shared folder, read at the first of them."""
+    store, versions = _committed(spark, d)
+    return store.read_at(versions[0]).table(0).df.select(F.col("o_orderkey").alias("pk"), (F.col("o_custkey") + 1).alias("raw"))
+
+
+@register("SELECT o_orderkey * 3 // (SELECT max(o_orderkey) + 1 FROM orders) AS commit, sum(count(*)) OVER (ORDER BY o_orderkey * 3 // (SELECT max(o_orderkey) + 1 FROM orders))::BIGINT AS live FROM orders GROUP BY 1")
+def live_counts_by_version(spark, d):
+    """Live rows of each version, from the manifests alone."""
+    store, versions = _committed(spark, d)
+    return spark.createDataFrame([(k, store.read_at(v).live_count(0)) for k, v in enumerate(versions)], "commit bigint, live bigint")
+
+
+@register("SELECT c_custkey AS pk, c_nationkey::BIGINT AS nation, CASE WHEN c_custkey % 5 = 0 THEN 8 ELSE 7 END::BIGINT AS added FROM customer WHERE c_custkey % 4 <> 1")
+def store_migration(spark, d):
+    """A store that gains a property, loses one, is changed and thinned out, compacted to another place and checked to be the same there."""
+    c, store = S.table(spark, d, "customer").df, _store(spark)
+    with store.begin_write() as w:
+        w.add_type(ObjectType("customer", (Prop("pk"), Prop("gone"), Prop("nation"))))
+        w.bulk_import(0, c.select(F.col("c_custkey").alias("pk"), F.lit(3).cast("bigint").alias("gone"), F.col("c_nationkey").alias("nation")))
+        w.commit()
+    with store.begin_write() as w:
+        w.add_property(0, Prop("added"), 7)
+        w.remove_property(0, 1)
+        w.update(0, c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("pk"), F.col("c_nationkey").alias("nation"), F.lit(8).cast("bigint").alias("added"), F.lit(None).cast("bigint").alias("expected_version"), F.col("c_custkey").alias("_pos")))
+        w.delete(0, c.where("c_custkey % 4 = 1").select(F.col("c_custkey").alias("pk"), F.lit(None).cast("bigint").alias("expected_version"), F.col("c_custkey").alias("_pos")))
+        w.commit()
+    copy = store.compact_to(f"{store.path}-copy")
+    with store.begin_read() as a, copy.begin_read() as b:
+        maintain.verify_equivalent(a.tables(), b.tables())
+    if not copy.verify_integrity().isEmpty():
+        raise ValueError("the copy has problems")
+    return copy.begin_read().table(0).df.select("pk", "nation", "added")
+
+
+@register("SELECT c_custkey AS pk, CASE WHEN c_custkey > 1 AND (c_custkey - 1) % 3 <> 0 THEN c_custkey - 1 END AS prev FROM customer WHERE c_custkey % 3 <> 0")
+def delete_same_type(spark, d):
+    """Customers linked to the one before; a third of them is deleted, and links to them are cleared."""
+    c = S.table(spark, d, "customer").df
+    first = c.agg(F.min("_okey")).first()[0]
+    t = Table(ObjectType("customer", (Prop("pk"), Prop("prev", Kind.LINK, target=0))), c.select("_okey", "_version", F.col("c_custkey").alias("pk"), F.when(F.col("_okey") > first, F.col("_okey") - 1).alias("prev")))
+    done = graph.delete_graph([t], 0, t.df.where("pk % 3 = 0").select("pk", F.lit(None).cast("bigint").alias("expected_version")))
+    return t.apply(done.changes[0]).select("pk", "prev")
+
+
+@register("SELECT doc_id AS pk, 2 + (quality <> toxic)::BIGINT - 1 AS n, quality = 1 OR toxic = 1 AS has_one, quality = 0 OR toxic = 0 AS has_zero, list_sort(list_distinct([quality, toxic, 9]))::VARCHAR AS after_add, list_filter([0, 1], lambda x: x <> 1 AND (x = quality OR x = toxic))::VARCHAR AS after_remove FROM labels")
+def set_int_change(spark, d):
+    m = C.build_set(F.array(F.col("quality").cast("bigint"), F.col("toxic").cast("bigint")))
+    text = lambda c: F.concat(F.lit("["), F.array_join(c.cast("array<string>"), ", "), F.lit("]"))
+    t = S.read(spark, d, "labels").select(F.col("doc_id").alias("pk"), m.alias("m"))
+    one, zero, nine = (F.lit(v).cast("bigint") for v in (1, 0, 9))
+    return t.select("pk", C.length(F.col("m")).alias("n"), C.set_contains(F.col("m"), one).alias("has_one"), C.set_contains(F.col("m"), zero).alias("has_zero"), text(C.set_add(F.col("m"), nine)).alias("after_add"), text(C.set_remove(F.col("m"), one)).alias("after_remove"))
+
+
+@register("SELECT p_partkey AS pk, 3 AS n, p_name AS first, unnest(['x' || p_name, p_size::VARCHAR, p_name, 'end']) AS item, unnest([0, 1, 2, 3]) AS idx FROM part")
+def list_blob_change(spark, d):
+    """A list of blobs, built, appended to and changed in place."""
+    t = S.read(spark, d, "part")
+    blob = lambda c: c.cast("string").cast("binary")
+    t = t.select(F.col("p_partkey").alias("pk"), "p_name", C.build_list(blob(F.col("p_name")), blob(F.col("p_size")), blob(F.col("p_name"))).alias("l"))
+    new = C.list_set(C.list_append(F.col("l"), F.lit(b"end")), 0, blob(F.concat(F.lit("x"), "p_name")))
+    t = t.select("pk", C.length(F.col("l")).cast("int").alias("n"), C.list_get(F.col("l"), 0).cast("string").alias("first"), F.posexplode(new).alias("idx", "item"))
+    return t.select("pk", "n", "first", F.col("item").cast("string").alias("item"), "idx")
+
+
+@register("SELECT doc_id AS pk, substr(hex(encode(text)), 9, 16) AS part FROM documents")
+def blob_read(spark, d):
+    return S.table(spark, d, "documents").df.select(F.col("doc_id").alias("pk"), F.hex(C.blob_read(F.col("text").cast("binary"), 4, 8)).alias("part"))

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,8 @@ class TypeState:
     base: list[str] = field(default_factory=list)
     delta: list[str] = field(default_factory=list)
     defaults: dict[str, int] = field(default_factory=dict)
+    #: Rows of each file, and a fold of them that doesn't depend on their order.
+    sums: dict[str, list[int]] = field(default_factory=dict)
 
     @staticmethod
     def new(otype: ObjectType) -> TypeState:
@@ -53,13 +55,20 @@ class TypeState:
         return TypeState(otype, [f"c{i}" for i in range(n)], n)
 
     def to_json(self) -> dict:
-        return self.__dict__ | {"otype": self.otype.to_json()}
+        used = {*self.base, *self.delta}
+        return self.__dict__ | {"otype": self.otype.to_json(), "sums": {n: v for n, v in self.sums.items() if n in used}}
 
     @staticmethod
     def from_json(d: dict) -> TypeState:
         return TypeState(**(d | {"otype": ObjectType.from_json(d["otype"])}))
 
 
+def row_sums(df: DataFrame) -> list[Column]:
+    """Count and order-independent fold of all columns; dictionaries by ascending key."""
+    cols = [F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*cols)), F.lit(0).cast("bigint")).alias("fold")]
+
+
 def checksum(body: dict) -> str:
     return hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
 
@@ -96,7 +105,7 @@ class Snapshot:
             t.df.createOrReplaceTempView(t.otype.name)
 
     def end(self) -> None:
-        self.store._pinned.remove(self.version)
+        self.store._unpin(self.version)
 
     def __enter__(self) -> Snapshot:
         return self
@@ -112,6 +121,11 @@ class Store:
         self.spark, self.path, self.files, self.hook = spark, path.rstrip("/"), Files(spark, path), hook
         self.version, self.retain, self.commits = 0, 0, 0
         self._pinned: list[int] = []
+        self.name, self.lease_s = uuid.uuid4().hex, 3600.0
+        self._told: int | None = None
+        self._lease = 0.0
+        #: Delta files that a type may have after a commit before that many of the oldest are folded; 0: never.
+        self.auto_compact = 0
 
     @staticmethod
     def create(spark: SparkSession, path: str, hook: Callable[[str], None] | None = None) -> Store:
@@ -127,12 +141,16 @@ class Store:
     @staticmethod
     def open(spark: SparkSession, path: str, hook: Callable[[str], None] | None = None) -> Store:
         s = Store(spark, path, hook)
+        top, _, name = s.path.rpartition("/")
+        if not s.files.exists("_versions") and Files(spark, top).exists(f"{name}.old/_versions"):
+            Files(spark, top).move(f"{name}.old", name)  # compact_in_place() ended between its renames
         s.refresh()
         return s
 
     @staticmethod
     def open_or_create(spark: SparkSession, path: str) -> Store:
-        return Store.open(spark, path) if Files(spark, path).exists("_versions") else Store.create(spark, path)
+        there = Files(spark, path).exists("_versions") or Files(spark, f"{path.rstrip('/')}.old").exists("_versions")
+        return Store.open(spark, path) if there else Store.create(spark, path)
 
     # manifests
 
@@ -145,10 +163,13 @@ class Store:
 
     def _write_manifest(self, version: int, types: list[TypeState]) -> None:
         body = {"version": version, "types": [t.to_json() for t in types]}
-        name = f"_versions/{version:020d}.json"
-        if not self.files.create(name, json.dumps({"body": body, "checksum": checksum(body)})):
+        name, text = f"_versions/{version:020d}.json", json.dumps({"body": body, "checksum": checksum(body)})
+        if not self.files.create(name, text):
+            if self.files.exists("_latest") and version <= self._published():
+                raise Durability(f"version {version} is published")
             self.files.delete(name)  # left by a commit that never published; the writer's lock is held
-            self.files.create(name, json.dumps({"body": body, "checksum": checksum(body)}))
+            if not self.files.create(name, text):
+                raise Durability(f"another writer makes version {version}")
 
     def _publish(self, version: int) -> None:
         self.files.replace("_latest", json.dumps({"version": version, "checksum": checksum({"version": version})}))
@@ -188,8 +209,39 @@ class Store:
     def set_retain_versions(self, n: int) -> None:
         self.retain = n
 
+    def _pins(self) -> dict[str, int]:
+        """The oldest pinned version of each attached reader, other processes' too, whose lease hasn't ended."""
+        out = {}
+        for n in self.files.names("_pins"):
+            try:
+                pin = json.loads(self.files.read(f"_pins/{n}") or "{}")
+                if pin["until"] > time.time():
+                    out[n] = pin["version"]
+            except (ValueError, KeyError):  # being written or deleted
+                continue
+        return out
+
+    def _pin_file(self) -> None:
+        """Tells other processes the oldest version that this handle reads, with a lease; nothing while it reads none."""
+        now = min(self._pinned) if self._pinned else None
+        if now != self._told or now is not None and time.time() > self._lease - self.lease_s / 2:
+            self._told, self._lease = now, time.time() + self.lease_s
+            if now is None:
+                self.files.delete(f"_pins/{self.name}.json")
+            else:
+                self.files.replace(f"_pins/{self.name}.json", json.dumps({"version": now, "until": self._lease}))
+
+    def _unpin(self, version: int) -> None:
+        self._pinned.remove(version)
+        self._pin_file()
+
     def oldest_pinned_version(self) -> int:
-        return min([*self._pinned, self.version])
+        """Of this handle's snapshots and those of every attached process."""
+        return min([*self._pinned, *self._pins().values(), self.version])
+
+    def attached(self) -> int:
+        """Handles, in any process, that hold a snapshot and whose lease hasn't ended."""
+        return len(self._pins())
 
     def begin_read(self) -> Snapshot:
         return self._snapshot(self.refresh())
@@ -205,6 +257,7 @@ class Store:
         if m is None:
             raise VersionUnavailable(str(version))
         self._pinned.append(version)
+        self._pin_file()
         return Snapshot(self, version, [TypeState.from_json(t) for t in m["body"]["types"]])
 
     # rows
@@ -250,12 +303,19 @@ class Store:
                 time.sleep(0.1)
 
     def begin_write_try(self) -> WriteTxn:
-        if not self.files.create("_lock", json.dumps({"since": time.time()})):
+        owner = uuid.uuid4().hex
+        if not self.files.create("_lock", json.dumps({"since": time.time(), "owner": owner})):
             raise WouldBlock(self.path)
-        return WriteTxn(self)
+        return WriteTxn(self, owner)
+
+    def lock_owner(self) -> str | None:
+        try:
+            return json.loads(self.files.read("_lock") or "{}").get("owner")
+        except ValueError:
+            return None
 
     def break_lock(self) -> None:
-        """Frees the lock of a writer that died."""
+        """Frees the lock of a writer that died. If it lives after all, it can't commit any more."""
         self.files.delete("_lock")
 
     # upkeep
@@ -289,7 +349,8 @@ class Store:
             return txn.commit()
 
     def compact_step(self, type_id: int, budget: int) -> dict:
-        """Folds at most `budget` delta files, the oldest first, into base files; {ran, merged, done}. Does nothing unless should_compact() or deltas are left over."""
+        """Folds at most `budget` delta files, the oldest first, into base files; {ran, merged, done}. Does nothing where there are none
+        and should_compact() is false. The deltas' rows decide which base rows go, so a step also reads and rewrites the base; budget bounds the deltas alone."""
         with self.begin_write() as txn:
             s = txn.types[type_id]
             if not s.delta and not maintain.should_compact(s.live, s.next_row):
@@ -312,7 +373,7 @@ class Store:
             new.files.delete("")
             new.files.make_folder("_versions")
             states = []
-            txn = WriteTxn(new, locked=False)
+            txn = WriteTxn(new, None)
             for i, s in enumerate(r.types):
                 df = maintain.compact(r.table(i)).df
                 made = TypeState(s.otype, list(s.physical), s.next_column, s.next_key, s.live, s.live)
@@ -326,12 +387,18 @@ class Store:
             return new
 
     def compact_in_place(self) -> None:
-        """compact_to() beside this store, then a rename over it. No other handle may be open."""
-        beside = f"{self.path}.{uuid.uuid4().hex}"
-        self.compact_to(beside)
-        up = Files(self.spark, self.path.rpartition("/")[0])
-        up.delete(self.path.rpartition("/")[2])
-        up.move(beside.rpartition("/")[2], self.path.rpartition("/")[2])
+        """compact_to() beside this store; then this one is renamed aside, the new one into its place, and the old one deleted. No other handle may be open. If
+        it ends between the renames, the next open() puts the old one back."""
+        top, _, name = self.path.rpartition("/")
+        beside = f"{name}.{uuid.uuid4().hex}"
+        self.compact_to(f"{top}/{beside}")
+        up = Files(self.spark, top)
+        up.delete(f"{name}.old")
+        up.move(name, f"{name}.old")
+        if self.hook:
+            self.hook("renamed")
+        up.move(beside, name)
+        up.delete(f"{name}.old")
         self.refresh()
 
     def verify_integrity(self) -> DataFrame:
@@ -350,28 +417,49 @@ class Store:
                 for n in (*s.base, *s.delta):
                     if not self.files.exists(f"{n}/_SUCCESS"):
                         raise Corrupt(f"{n} is missing")
+                    if n in s.sums and self._sums_of(n) != s.sums[n]:
+                        raise Corrupt(f"{n} doesn't hold what was written")
                 if r.table(i).df.count() != s.live:
                     raise Corrupt(f"type {i} doesn't have {s.live} rows")
             return maintain.integrity_report(r.tables()) if r.types else self.spark.createDataFrame([], "type int, problem string, n bigint")
 
+    def _sums_of(self, name: str) -> list[int]:
+        try:
+            df = self.spark.read.parquet(f"{self.path}/{name}")
+            return list(df.agg(*row_sums(df)).first())
+        except Exception as e:
+            raise Corrupt(f"{name} can't be read") from e
+
+    def _compact_after(self, txn: WriteTxn) -> None:
+        """The step that follows a commit, where auto_compact asks for one."""
+        for i, s in enumerate(txn.types if self.auto_compact else []):
+            if len(s.delta) > self.auto_compact:
+                n, self.auto_compact = self.auto_compact, 0  # its own commit asks for none
+                try:
+                    self.compact_step(i, n)
+                finally:
+                    self.auto_compact = n
+
     def metrics(self) -> dict:
         with self.begin_read() as r:
             return {
-                "latest_version": r.version, "oldest_readable_version": self.oldest_readable_version(), "oldest_pinned_version": self.oldest_pinned_version(), "commit_count": self.commits,
+                "latest_version": r.version, "oldest_readable_version": self.oldest_readable_version(), "oldest_pinned_version": self.oldest_pinned_version(), "attached": self.attached(), "commit_count": self.commits,
                 "bytes": self.files.size(""), "live_bytes": sum(self.files.size(n) for s in r.types for n in (*s.base, *s.delta)),
                 "files": sum(len(s.base) + len(s.delta) for s in r.types), "live_rows": sum(s.live for s in r.types), "dead_rows": sum(s.next_row - s.live for s in r.types),
             }
 
     def close(self) -> None:
         self._pinned.clear()
+        self._pin_file()
 
 
 class WriteTxn:
     """One writer's changes, applied in order and published together by commit(). Reads inside see them. abort() publishes nothing."""
 
-    def __init__(self, store: Store, locked: bool = True) -> None:
-        self.store, self.locked, self.seq = store, locked, 0
-        if locked:
+    def __init__(self, store: Store, owner: str | None) -> None:
+        """owner: the token in the lock file; None for a store that nobody else knows yet."""
+        self.store, self.owner, self.locked, self.seq = store, owner, owner is not None, 0
+        if self.locked:
             store.refresh()
             m = store._manifest(store.version)
             self.types = [TypeState.from_json(t) for t in m["body"]["types"]]
@@ -422,14 +510,17 @@ class WriteTxn:
         s = state or self.types[type_id]
         name = f"types/{type_id}/{uuid.uuid4().hex}"
         cols = ["_okey", "_version"] + (["_live", "_seq"] if live is not None else [])
-        df.select(*cols, *(F.col(p.name).alias(c) for p, c in zip(s.otype.props, s.physical))).write.parquet(f"{self.store.path}/{name}")
+        out, seen = df.select(*cols, *(F.col(p.name).alias(c) for p, c in zip(s.otype.props, s.physical))), Observation()
+        if live is None and (by := next((c for p, c in zip(s.otype.props, s.physical) if p.indexed), None)):
+            out = out.repartitionByRange(by).sortWithinPartitions(by, "_okey")  # files and row groups of narrow ranges, which a predicate on it skips
+        out.observe(seen, *row_sums(out)).write.parquet(f"{self.store.path}/{name}")
+        s.sums[name] = [seen.get["rows"], seen.get["fold"]]
         return name
 
     def _new_rows(self, type_id: int, changes: DataFrame) -> int:
         s = self.types[type_id]
-        seen = Observation()
-        name = self._put(type_id, changes.observe(seen, F.count(F.lit(1)).alias("n")), None)
-        n = seen.get["n"]  # counted while it is written
+        name = self._put(type_id, changes, None)
+        n = s.sums[name][0]  # counted while it was written
         if n:
             s.base.append(name)
         s.next_key += n
@@ -565,9 +656,11 @@ class WriteTxn:
         """The new version. If a step fails, Durability is raised and the old version stays live."""
         try:
             self._step("files")
+            self._own()
             self.store._write_manifest(self.version, self.types)
             self._step("manifest")
             self._step("publish")
+            self._own()
             self.store._publish(self.version)
         except Exception as e:
             self.abort()
@@ -575,10 +668,16 @@ class WriteTxn:
         self.store.version = self.version
         self.store.commits += 1
         self.abort()
+        self.store._compact_after(self)
         return self.version
 
+    def _own(self) -> None:
+        if self.locked and self.store.lock_owner() != self.owner:
+            raise Durability("the lock was taken away")
+
     def abort(self) -> None:
-        """Frees the lock. What was written stays unreferenced until vacuum()."""
+        """Frees the lock, if it is still this writer's. What was written stays unreferenced until vacuum()."""
         if self.locked:
             self.locked = False
-            self.store.files.delete("_lock")
+            if self.store.lock_owner() == self.owner:
+                self.store.files.delete("_lock")

@@ -9,7 +9,7 @@ from tabulon.functions import collections as C
 from tabulon.operators import links, maintain, query
 from tabulon.plans.predicates import Op, Predicate
 from tabulon.schema import Elem, Kind, ObjectType, Prop, Rule, of_ints
-from tabulon.sources.store import Store
+from tabulon.sources.store import Store, WriteTxn
 from tabulon.streaming.ingest import ingest
 
 
@@ -386,3 +386,102 @@ def test_stream_into_a_store(spark, store, tmp_path):
     ingest(stream, store, 0, f"{tmp_path}/other", "ord").awaitTermination(60)  # replays everything, changes nothing
     with store.begin_read() as r:
         assert rows(r.table(0), "_okey", "p0", "p1") == sorted(((i, i, 2 * i) for i in range(20)), key=repr)
+
+
+def _type(store, name="t"):
+    with store.begin_write() as w:
+        w.add_type(of_ints(name, 2))
+        w.insert(0, [(1, 1)])
+        w.commit()
+
+
+def test_a_writer_whose_lock_was_broken_cannot_publish(spark, store):
+    _type(store)
+    slow = store.begin_write()
+    slow.insert(0, [(2, 2)])
+    store.break_lock()
+    other = Store.open(spark, store.path)
+    quick = other.begin_write()
+    quick.insert(0, [(3, 3)])
+    with pytest.raises(E.Durability):
+        slow.commit()
+    assert other.lock_owner() == quick.owner  # the slow writer left the other's lock alone
+    assert quick.commit() == 3
+    with Store.open(spark, store.path).begin_read() as r:
+        assert rows(r.table(0), "p0") == [(1,), (3,)]
+    late = WriteTxn(other, "nobody")
+    late.version = 3
+    with pytest.raises(E.Durability):
+        store._write_manifest(3, late.types)  # a published version is never replaced
+
+
+def test_compact_in_place_survives_a_crash_between_its_renames(spark, store):
+    _type(store)
+
+    def crash(step):
+        raise OSError(step)
+
+    store.hook = crash
+    with pytest.raises(OSError):
+        store.compact_in_place()
+    again = Store.open_or_create(spark, store.path)
+    with again.begin_read() as r:
+        assert rows(r.table(0), "p0", "p1") == [(1, 1)]
+    again.compact_in_place()
+    with Store.open(spark, store.path).begin_read() as r:
+        assert rows(r.table(0), "p0", "p1") == [(1, 1)]
+
+
+def test_vacuum_keeps_what_another_handle_reads(spark, store):
+    _type(store)
+    reader = Store.open(spark, store.path)
+    snapshot = reader.begin_read()
+    assert store.attached() == 1 and store.oldest_pinned_version() == snapshot.version
+    for k in range(3):
+        store.compact(0)
+        store.vacuum()
+    assert rows(snapshot.table(0), "p0") == [(1,)]
+    snapshot.end()
+    assert store.attached() == 0 and store.vacuum() >= 1
+    reader.lease_s = -1.0  # a reader that died: its lease ends
+    reader.begin_read()
+    assert store.attached() == 0
+
+
+def test_changed_data_is_found(spark, store):
+    with store.begin_write() as w:
+        w.add_type(ObjectType("t", (Prop("pk"), Prop("d", Kind.DICT), Prop("s", Kind.SET))))
+        w.insert(0, [(1, {b"k": 1, b"a": 2}, [3]), (2, {}, [])])
+        w.commit()
+    with store.begin_read() as r:
+        name = r.types[0].base[0]
+    assert store.verify_integrity().count() == 0
+    path = f"{store.path}/{name}"
+    df = spark.createDataFrame(spark.read.parquet(path).collect(), spark.read.parquet(path).schema)
+    df.withColumn("c0", F.when(F.col("c0") == 2, 5).otherwise(F.col("c0")).cast("bigint")).write.mode("overwrite").parquet(path)
+    with pytest.raises(E.Corrupt):
+        store.verify_integrity()
+
+
+def test_deltas_are_folded_after_commits(spark, store):
+    _type(store)
+    store.auto_compact = 2
+    for k in range(5):
+        with store.begin_write() as w:
+            w.update(0, [(1, k, None)])
+            w.commit()
+        with store.begin_read() as r:
+            assert len(r.types[0].delta) <= 2 and rows(r.table(0), "p0", "p1") == [(1, k)]
+
+
+def test_indexed_types_are_laid_out_by_their_index(spark, store):
+    with store.begin_write() as w:
+        w.add_type(ObjectType("t", (Prop("pk"), Prop("category", indexed=True))))
+        w.bulk_import(0, spark.range(20_000).select(F.col("id").alias("pk"), (F.col("id") % 100).alias("category")))
+        w.commit()
+    with store.begin_read() as r:
+        t = r.table(0)
+        per_file = t.df.select("category", F.input_file_name().alias("f")).groupBy("f").agg(F.min("category").alias("lo"), F.max("category").alias("hi")).collect()
+        spans = sorted((x.lo, x.hi) for x in per_file)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        assert query.count_where(t, [Predicate("category", Op.EQ, 42)]).first().n == 200
