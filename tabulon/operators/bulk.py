@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..errors import BadRow, DuplicateKey, NotAppendable, TypeNotEmpty, UnsupportedForBulk
 from ..schema import LINKS
 from . import dml
-from .ranking import cut_points, rising, with_rank
+from .ranking import in_order, numbered, parts, rising
 from .table import Table, changed
 
 
@@ -18,41 +18,45 @@ def _check_width(t: Table, rows: DataFrame) -> None:
 
 
 def bulk_import(t: Table, rows: DataFrame, version: int) -> DataFrame:
-    """Changes that fill a type that never had rows; object keys follow next_key in the order of the primary key."""
+    """Changes that fill a type that never had rows; object keys follow next_key in the order of the primary key. One shuffle: rows sorted by key show their
+    duplicates, and the sorted rows are numbered by partition."""
     if t.next_row:
         raise TypeNotEmpty(t.otype.name)
     if any(p.kind in LINKS for p in t.otype.props):
         raise UnsupportedForBulk("types with links take rows one batch at a time")
     _check_width(t, rows)
     pk = t.otype.pk
-    if not rows.groupBy(pk).count().where("count > 1").isEmpty():
+    sorted_rows = in_order(rows.select(*dml.stored_row(t, rows)), [pk], F.count("*").over(Window.partitionBy(pk)).alias("_same"))
+    per = parts(sorted_rows, F.max("_same").alias("same"))
+    if any(r["same"] > 1 for r in per):
         raise DuplicateKey(t.otype.name)
-    ranked = with_rank(rows.select(*dml.stored_row(t, rows)), pk)
+    return _placed(t, sorted_rows.drop("_same"), per, version)
+
+
+def _placed(t: Table, sorted_rows: DataFrame, per: list[Row], version: int) -> DataFrame:
+    ranked = numbered(sorted_rows, per)
     return changed(ranked.withColumn("_okey", F.col("_rank") + F.lit(t.next_key)).withColumn("_version", F.lit(version).cast("bigint")), t)
 
 
-def check_appendable(t: Table, rows: DataFrame) -> list:
-    """rows(_pos, properties) can go behind what is there: no index or link to keep, keys ascending in input order and above the largest key. The
-    cut points of _pos, which ranking needs again."""
+def appendable(t: Table, rows: DataFrame) -> tuple[DataFrame, list[Row]]:
+    """rows(_pos, properties) in input order, and their parts(), if they can go behind what is there: no index or link to keep, keys ascending and above the largest key."""
     _check_width(t, rows)
     if any(p.indexed or p.kind in LINKS for p in t.otype.props):
         raise NotAppendable("an indexed or link property needs the row-wise path")
     pk = t.otype.pk
-    cuts = cut_points(rows, "_pos")
-    fine, first = rising(rows, "_pos", pk, cuts)
+    sorted_rows = in_order(rows.select(*dml.stored_row(t, rows), "_pos"), ["_pos"])
+    per, fine, first = rising(sorted_rows, pk)
     if not fine:
         raise NotAppendable("keys don't rise strictly in input order")
     top = t.df.agg(F.max(pk)).first()[0]
     if first is not None and top is not None and first <= top:
         raise NotAppendable("a key is at or below the largest key")
-    return cuts
+    return sorted_rows, per
 
 
 def bulk_append(t: Table, rows: DataFrame, version: int) -> DataFrame:
     """Changes that append rows(_pos, properties); object keys follow next_key in input order. No rows, no changes."""
-    cuts = check_appendable(t, rows)
-    ranked = with_rank(rows.select(*dml.stored_row(t, rows), "_pos"), "_pos", cuts=cuts)
-    return changed(ranked.withColumn("_okey", F.col("_rank") + F.lit(t.next_key)).withColumn("_version", F.lit(version).cast("bigint")), t)
+    return _placed(t, *appendable(t, rows), version)
 
 
 def bulk_append_or_insert(t: Table, rows: DataFrame, version: int) -> DataFrame:

@@ -1,64 +1,59 @@
-"""Dense global positions without a single-partition window."""
+"""Dense global positions without a single-partition window.
+
+Rows are range-partitioned and sorted once, by key and ties together, so a key that most rows share is spread like any other; the sorted rows are written, with
+their partition and place in it. A row's position is its place plus the rows of earlier partitions: the driver sees one number for each shuffle partition.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate, pairwise
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-#: Rows of a bucket, about, and buckets at most: what comes to the driver is one cut point for each.
-BUCKET_ROWS, MOST_BUCKETS = 100_000, 4096
+from .cut import cut
+
+#: monotonically_increasing_id(): the partition above this bit, the place in it below.
+PLACE_BITS = 33
 
 
-#: Quantiles that the first pass takes along with the count; they do for as many buckets.
-FIRST_CUTS = 256
+def in_order(df: DataFrame, order: list[str], *more: Column) -> DataFrame:
+    """df, computed once, with `_at`: ascending along `order` (null first), partition and place in it. `more` are columns over the sorted partitions."""
+    by = [F.col(c).asc_nulls_first() for c in order]
+    return cut(df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", *more).withColumn("_at", F.monotonically_increasing_id()))
 
 
-def cut_points(df: DataFrame, key: str) -> list:
-    """Ascending cut points that deal the rows to buckets; none for less than two buckets. One pass, or two where more than FIRST_CUTS buckets are needed."""
-    at = lambda k: F.array(*(F.lit(i / k) for i in range(1, k)))
-    n, got = df.agg(F.count("*"), F.percentile_approx(key, at(FIRST_CUTS), 20 * FIRST_CUTS)).first()
-    buckets = int(min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    if buckets < 2 or not got:
-        return []
-    if buckets > FIRST_CUTS:
-        got = df.select(F.percentile_approx(key, at(buckets), 20 * buckets).alias("q")).first()["q"]
-        return sorted(set(got))
-    return sorted({got[round(i * FIRST_CUTS / buckets) - 1] for i in range(1, buckets)})
+def _part() -> Column:
+    return F.shiftright("_at", PLACE_BITS)
 
 
-def bucket(key: Column, cuts: list) -> Column:
-    """Cut points at or below key, found by halving; nulls in bucket 0."""
+def parts(rows: DataFrame, *more: Column) -> list[Row]:
+    """(part, n, more...) of in_order() rows: a row for each partition that has any, in order."""
+    return sorted(rows.groupBy(_part().alias("part")).agg(F.count("*").alias("n"), *more).collect())
 
-    def half(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        m = (lo + hi) // 2
-        return F.when(key < F.lit(cuts[m]), half(lo, m)).otherwise(half(m + 1, hi))
 
-    return F.when(key.isNull(), F.lit(0)).otherwise(half(0, len(cuts)))
+def numbered(rows: DataFrame, per: list[Row], name: str = "_rank") -> DataFrame:
+    """in_order() rows with their 0-based position for `_at`; per: parts(rows). The scan's own projection: no join and no shuffle."""
+    n = {r["part"]: r["n"] for r in per}
+    before = accumulate((n.get(i, 0) for i in range(max(n, default=0))), initial=0)
+    starts = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
+    place = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return rows.withColumn(name, F.get(starts, _part().cast("int")) + place).drop("_at")
 
 
-def with_rank(df: DataFrame, key: str, ties: list[str] | None = None, name: str = "_rank", cuts: list | None = None) -> DataFrame:
-    """df with each row's 0-based position in ascending order of key, ties. Numeric key; buckets of neighbouring keys are ranked on their own
-    and start where the counts of the buckets before end. cuts: cut_points(df, key), if the caller has them."""
-    cuts = cut_points(df, key) if cuts is None else cuts
-    order = [F.col(c).asc_nulls_first() for c in (key, *(ties or []))]
-    if not cuts:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)  # fewer rows than two buckets hold
-    dealt = df.withColumn("_b", bucket(F.col(key), cuts))
-    per = dealt.groupBy("_b").agg(F.count("*").alias("_n"))
-    per = per.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n0"))
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return dealt.withColumn("_r", own).join(F.broadcast(per), "_b").withColumn(name, F.col("_n0") + F.col("_r") - 1).drop("_b", "_r", "_n0")
+def with_rank(df: DataFrame, key: str, ties: list[str] | None = None, name: str = "_rank") -> DataFrame:
+    """df with each row's 0-based position in ascending order of key, ties; rows alike in all of these come in any order."""
+    rows = in_order(df, [key, *(ties or [])])
+    return numbered(rows, parts(rows), name)
 
 
-def rising(df: DataFrame, position: str, key: str, cuts: list) -> tuple[bool, int | None]:
-    """Whether key rises strictly with position, and its first value: inside every bucket by lag, across buckets by their ends."""
-    dealt = df.select(bucket(F.col(position), cuts).alias("_b"), F.col(position).alias("p"), F.col(key).alias("k"))
-    dealt = dealt.withColumn("bad", F.col("k") <= F.lag("k").over(Window.partitionBy("_b").orderBy("p")))
-    per = dealt.groupBy("_b").agg(F.max("bad").alias("bad"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("_b").collect()
-    return not any(r["bad"] for r in per) and all(a["hi"] < b["lo"] for a, b in zip(per, per[1:])), per[0]["lo"] if per else None
+def rising(rows: DataFrame, key: str) -> tuple[list[Row], bool, int | None]:
+    """parts() of in_order() rows, whether key rises strictly along them, and its first value: inside every partition by lag, across partitions by their ends."""
+    k = F.col(key)
+    bad = k <= F.lag(k).over(Window.partitionBy("_part").orderBy("_at"))
+    per = parts(rows.select("_at", k, _part().alias("_part")).withColumn("_bad", bad), F.max("_bad").alias("bad"), F.min(k).alias("lo"), F.max(k).alias("hi"))
+    return per, not any(r["bad"] for r in per) and all(a["hi"] < b["lo"] for a, b in pairwise(per)), per[0]["lo"] if per else None
 
 
 def ascending(df: DataFrame, position: str, key: str) -> bool:
-    return rising(df, position, key, cut_points(df, position))[0]
+    return rising(in_order(df.select(position, key), [position]), key)[1]

@@ -4,10 +4,11 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabulon.errors import SchemaMismatch, UnsupportedPredicate
-from tabulon.operators import query, ranking
+from tabulon.errors import DuplicateKey, SchemaMismatch, UnsupportedPredicate
+from tabulon.operators import bulk, query, ranking
 from tabulon.operators.table import Table
 from tabulon.plans.predicates import Op, Predicate, bounds, driving
 from tabulon.schema import Elem, Kind, ObjectType, Prop, Rule, of_ints, of_kinds, validate
@@ -105,19 +106,41 @@ def test_lookups_and_index(spark):
     assert query.max_key(Table(t.otype, t.df.limit(0))).first()[0] is None
 
 
-def test_ranks_and_order_over_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "BUCKET_ROWS", 50)
+@pytest.fixture(params=["true", "false"])
+def coalesced(spark, request):
+    """Small shuffles in one partition, as they run here, and in several, as large ones run."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_ranks_and_order_over_partitions(spark, coalesced):
     rng = random.Random(2)
-    ks = [rng.randint(-500, 500) for _ in range(900)]
+    ks = [rng.choice((None, 7, 7, rng.randint(-500, 500))) for _ in range(900)]  # half of the rows share a key, a quarter have none
     df = spark.createDataFrame(list(enumerate(ks)), "id bigint, k bigint")
-    want = {i: n for n, (_, i) in enumerate(sorted((k, i) for i, k in enumerate(ks)))}
+    want = {i: n for n, (_, i) in enumerate(sorted((-9999 if k is None else k, i) for i, k in enumerate(ks)))}
     assert {r.id: r._rank for r in ranking.with_rank(df, "k", ["id"]).collect()} == want
+    assert ranking.with_rank(df.limit(0), "k", ["id"]).count() == 0
     up = spark.createDataFrame([(i, 3 * i) for i in range(500)], "p bigint, k bigint")
-    assert ranking.ascending(up, "p", "k")
+    assert ranking.ascending(up, "p", "k") and ranking.ascending(up.limit(0), "p", "k")
     for bad in (250, 0, 499):
         assert not ranking.ascending(up.withColumn("k", F.when(F.col("p") == bad, 741 if bad else 9999).otherwise(F.col("k"))), "p", "k")
 
 
+def test_bulk_sees_every_duplicate_with_one_shuffle(spark, coalesced):
+    t = Table(of_ints("t", 2), spark.createDataFrame([], "_okey bigint, _version bigint, p0 bigint, p1 bigint"))
+    df = spark.range(400).select(F.col("id").alias("p0"), (F.col("id") % 7).alias("p1"))
+    assert {(r._okey, r.p0) for r in bulk.bulk_import(t, df.sort(F.desc("p0")), 1).collect()} == {(i, i) for i in range(400)}
+    for again in (0, 200, 399):
+        with pytest.raises(DuplicateKey):
+            bulk.bulk_import(t, df.unionAll(df.where(F.col("p0") == again)), 1)
+    same = F.count("*").over(Window.partitionBy("p0")).alias("n")
+    plan = df.repartitionByRange("p0").sortWithinPartitions("p0").select("*", same)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_schema_rules():
     with pytest.raises(SchemaMismatch):
         ObjectType("t", (Prop("b", Kind.BLOB),))
