@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..schema import LINKS, Kind, Rule
 from . import dml, links
 from .cut import cut
-from .table import Table, changed
+from .table import Table, blank, changed
 
 
 @dataclass(frozen=True)
@@ -28,33 +28,40 @@ def blocked(tables: list[Table], type_id: int) -> DataFrame:
     return reduce(DataFrame.unionAll, found).distinct() if found else tables[type_id].df.select("_okey").limit(0)
 
 
-def reached(tables: list[Table], roots: DataFrame) -> DataFrame:
-    """(_type, _okey): roots and all that cascade-rule links own, once each, cycles or not. One round for each level of depth; a round joins its frontier with
-    the edges of the types in it, and its result is cut from its history in the shared folder."""
+def kinds(keys: DataFrame) -> set[int]:
+    """The types that keys(_type, ...) names: at most as many as there are."""
+    return {r["_type"] for r in keys.select("_type").distinct().collect()}
+
+
+def reached(tables: list[Table], type_id: int, roots: DataFrame) -> tuple[DataFrame, set[int]]:
+    """(_type, _okey): roots(_okey) of a type and all that cascade-rule links own, once each, cycles or not; and the types that can be among them. One round for each level of depth; a round joins its frontier with
+    the edges of the types that are in it, and its result is cut from its history in the shared folder."""
     rules = [(i, p) for i, t in enumerate(tables) for p in t.otype.props if p.kind in LINKS and p.rule == Rule.CASCADE]
-    seen = front = cut(roots.select(F.col("_type").cast("int").alias("_type"), F.col("_okey").cast("bigint").alias("_okey")).distinct())
-    while rules:
-        steps = []
-        for i, p in rules:
+    seen = front = cut(roots.select(F.lit(type_id).cast("int").alias("_type"), F.col("_okey").cast("bigint").alias("_okey")).distinct())
+    types, all_types = {type_id}, {type_id}
+    while steps := [(i, p) for i, p in rules if i in types]:
+        found = []
+        for i, p in steps:
             own = front.where(F.col("_type") == i).select(F.col("_okey").alias("source"))
             there = tables[p.target].df.select(F.col("_okey").alias("target"))
-            found = links.edges(tables[i], p.name).join(own, "source", "left_semi").join(there, "target", "left_semi")
-            steps.append(found.select(F.lit(p.target).alias("_type"), F.col("target").alias("_okey")))
-        front = cut(reduce(DataFrame.unionAll, steps).distinct().join(seen, ["_type", "_okey"], "left_anti"))
-        if front.isEmpty():
-            break
+            to = links.edges(tables[i], p.name).join(own, "source", "left_semi").join(there, "target", "left_semi")
+            found.append(to.select(F.lit(p.target).alias("_type"), F.col("target").alias("_okey")))
+        front = cut(reduce(DataFrame.unionAll, found).distinct().join(seen, ["_type", "_okey"], "left_anti"))
         seen = seen.unionAll(front)
-    return seen
+        types = kinds(front)
+        all_types |= types
+    return seen, all_types
 
 
-def removal(tables: list[Table], gone: DataFrame) -> dict[int, DataFrame]:
-    """Changes by type that tombstone gone(_type, _okey) and clear every link into it. Versions of rows that only lose a link stay."""
+def removal(tables: list[Table], gone: DataFrame, types: set[int]) -> dict[int, DataFrame]:
+    """Changes by type that tombstone gone(_type, _okey), of `types`, and clear every link into it. Versions of rows that only lose a link stay. A type
+    that is none of these, nor links to one, isn't read."""
     out: dict[int, DataFrame] = {}
     for i, t in enumerate(tables):
         own = gone.where(F.col("_type") == i).select("_okey")
-        parts = [changed(t.df.join(own, "_okey", "left_semi"), t, live=False)]
+        parts = [changed(t.df.join(own, "_okey", "left_semi"), t, live=False)] if i in types else [blank(t)]
         now = t
-        for target in sorted({p.target for p in t.otype.props if p.kind in LINKS}):
+        for target in sorted({p.target for p in t.otype.props if p.kind in LINKS} & types):
             hit = links.nullify(now, t.otype.links_to(target), gone.where(F.col("_type") == target).select("_okey"))
             now = Table(t.otype, now.apply(hit), t.next_key, t.next_row)
         if now is not t:
@@ -73,9 +80,10 @@ def delete_graph(tables: list[Table], type_id: int, batch: DataFrame) -> GraphDo
     done = dml.delete(t, batch)
     stop = blocked(tables, type_id).join(t.df.select("_okey", F.col(t.otype.pk).alias("pk")), "_okey").select("pk", F.lit(True).alias("_stop"))
     status = done.status.join(stop, "pk", "left").withColumn("status", F.when((F.col("status") == "ok") & F.col("_stop"), "blocked").otherwise(F.col("status"))).drop("_stop")
+    status = cut(status)
     ok = status.where("status = 'ok'").select("pk").join(t.df.select("_okey", F.col(t.otype.pk).alias("pk")), "pk")
-    gone = reached(tables, ok.select(F.lit(type_id).alias("_type"), "_okey"))
-    return GraphDone(cut(status), removal(tables, gone))
+    gone, types = reached(tables, type_id, ok.select("_okey"))
+    return GraphDone(status, removal(tables, gone, types))
 
 
 def owned(tables: list[Table], owner_type: int, prop: str, owners: DataFrame) -> DataFrame:
